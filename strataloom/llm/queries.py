@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.llm import decontaminate, media, simhash
+from strataloom.llm import decontaminate, media, sharding, simhash
 
 QUERIES = {
+    "op4_balanced_label_propagation": sharding.op4_query,
     "op7_simhash_pigeonring": simhash.op7_query,
     "op9_avi_motion_jpeg": media.op9_query,
     "op10_benchmark_decontamination": decontaminate.op10_query,
