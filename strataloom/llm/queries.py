@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.llm import decontaminate, media, packing, sharding, simhash
+from strataloom.llm import decontaminate, media, packing, repeats, sharding, simhash
 
 QUERIES = {
+    "op3_run_length_index": repeats.op3_query,
     "op6_best_fit_packing": packing.op6_query,
     "op4_balanced_label_propagation": sharding.op4_query,
     "op7_simhash_pigeonring": simhash.op7_query,
