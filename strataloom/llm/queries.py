@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.llm import chunks, decontaminate, media, packing, repeats, sharding, simhash
+from strataloom.llm import chunks, decontaminate, media, packing, repeats, sharding, simhash, toxicity
 
 QUERIES = {
+    "op1_levenshtein_toxicity": toxicity.op1_query,
     "op5_gear_chunk_dedup": chunks.op5_query,
     "op3_run_length_index": repeats.op3_query,
     "op6_best_fit_packing": packing.op6_query,
