@@ -31,9 +31,9 @@ from strataloom.llm.words import LOWER, UNBLANK, word_bounds, word_hashes, windo
 
 SAMPLE_ROWS = 12_000
 BINS = 24
-ROUNDS = 600
+ROUNDS = 1500
 RATE = 0.05
-SMOOTH = 1e-3
+SMOOTH = 1e-4
 THRESHOLD = 0.5
 
 _KINDS = np.zeros(256, np.int64)  # 0 other signs, 1 small letters, 2 capitals, 3 digits, 4 blanks, 5 sentence marks
