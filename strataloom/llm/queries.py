@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strataloom.llm import chunks, decontaminate, media, packing, quality, repeats, sharding, simhash, toxicity
+from strataloom.llm import chunks, decontaminate, langid, media, packing, quality, repeats, sharding, simhash, toxicity
 
 QUERIES = {
+    "op8_crf_language_id": langid.op8_query,
     "op2_nnpu_quality": quality.op2_query,
     "op1_levenshtein_toxicity": toxicity.op1_query,
     "op5_gear_chunk_dedup": chunks.op5_query,
