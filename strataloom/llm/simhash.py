@@ -215,3 +215,149 @@ def op7_query(spark, sf_dir):
     from strataloom.llm.common import read_table
 
     return simhash_components(read_table(spark, sf_dir, "documents"))
+
+
+# ---------------------------------------------------------------- near-duplicates by similarity
+
+SIMILARITY = 0.8
+MAX_SEGMENTS = 24
+#: Members of a key that are compared with each other; more go by longer chains, then by stars.
+MAX_PAIRED = 8
+
+
+def class_count(scale: int, similarity: float) -> int:
+    """Classes for sets of 2**scale to 2**(scale + 1) / similarity shingles: one more than the shingles in
+    which two of them can differ at this similarity."""
+    largest = 2 ** (scale + 1) / similarity
+    return int(2 * largest * (1 - similarity) / (1 + similarity)) + 1
+
+
+def segment_keys(hashes: np.ndarray, similarity: float = SIMILARITY, most: int = MAX_SEGMENTS) -> np.ndarray:
+    """Keys of one text's segments: for each scale that the text shares with sets of similar size, the
+    SimHash of each class of its distinct shingles, tagged with scale and class."""
+    from strataloom.llm.common import mix64
+
+    n = len(hashes)
+    if not n:
+        return np.zeros(0, np.uint64)
+    scale = n.bit_length() - 1
+    scales = [scale] + ([scale - 1] if scale and n * similarity < 2**scale else [])
+    out = []
+    for s in scales:
+        classes = class_count(s, similarity)
+        own = mix64(hashes ^ np.uint64(s + 1)) % np.uint64(classes)
+        keep = own < most
+        order = np.argsort(own[keep], kind="stable")
+        kind, counts = np.unique(own[keep], return_counts=True)
+        prints = bit_majorities(hashes[keep][order], counts)
+        with np.errstate(over="ignore"):
+            out.append(mix64(prints + mix64(np.uint64(s * 64 + 1) * np.uint64(0x9E3779B97F4A7C15) + kind)))
+    return np.concatenate(out)
+
+
+def _signatures(base: DataFrame, words: int, similarity: float, most: int) -> DataFrame:
+    """rid, n (distinct shingles), keys (array) of every row."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            sizes, keys = [], []
+            for a, b in steps(offsets):
+                hashes, counts = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                ends = np.cumsum(counts)
+                for end, count in zip(ends.tolist(), counts.tolist()):
+                    own = np.unique(hashes[end - count : end])
+                    sizes.append(len(own))
+                    keys.append(segment_keys(own, similarity, most).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "n", "keys"])
+
+    return base.select("rid", "text").mapInArrow(run, "rid long, n long, keys array<long>")
+
+
+def _shingle_sets(base: DataFrame, words: int) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            sets = []
+            for a, b in steps(offsets):
+                hashes, counts = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                ends = np.cumsum(counts)
+                sets += [np.unique(hashes[e - c : e]).view(np.int64) for e, c in zip(ends.tolist(), counts.tolist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "s"])
+
+    return base.select("rid", "text").mapInArrow(run, "rid long, s array<long>")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) whose sets are at least `similarity` alike."""
+    both = pairs.join(sets.select(F.col("rid").alias("u"), F.col("s").alias("su")), "u").join(
+        sets.select(F.col("rid").alias("v"), F.col("s").alias("sv")), "v")
+
+    def run(batches):
+        for batch in batches:
+            su, sv, keep = batch.column(2), batch.column(3), []
+            for i in range(batch.num_rows):
+                x, y = su[i].values.to_numpy(), sv[i].values.to_numpy()
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(common >= similarity * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+
+
+def _candidates(keyed: DataFrame, similarity: float, max_paired: int) -> DataFrame:
+    """Pairs of rows that share a key. `keyed` has rid, n, key and chain (the key with the next ones of the
+    same text's ring). A crowded key is told apart by its chain; rows that agree even in a crowded chain
+    meet its smallest member."""
+    out = None
+    for level in ("key", "chain"):
+        sizes = keyed.groupBy(level).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "n")).alias("low")).where("c > 1")
+        few = keyed.join(sizes.where(F.col("c") <= max_paired).select(level), level).select(level, "rid", "n")
+        a, b = few.alias("a"), few.alias("b")
+        close = (F.least("a.n", "b.n") >= F.lit(similarity) * F.greatest("a.n", "b.n"))
+        pairs = a.join(b, (F.col(f"a.{level}") == F.col(f"b.{level}")) & (F.col("a.rid") < F.col("b.rid")) & close).select(
+            F.col("a.rid").alias("u"), F.col("b.rid").alias("v"))
+        many = sizes.where(F.col("c") > max_paired).select(level, "low")
+        crowded = keyed.join(many, level)
+        star = crowded.where((F.col("rid") != F.col("low.rid")) & (
+            F.least("n", F.col("low.n")) >= F.lit(similarity) * F.greatest("n", F.col("low.n")))).select(
+            F.col("low.rid").alias("u"), F.col("rid").alias("v"))
+        pairs = pairs.unionByName(star)
+        out = pairs if out is None else out.unionByName(pairs)
+        keyed = crowded.drop("low")
+    return out.distinct()
+
+
+def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILARITY, max_segments: int = MAX_SEGMENTS,
+                    max_paired: int = MAX_PAIRED) -> DataFrame:
+    """(rid, root) of the rows of `base` (unique rid, text) that belong to a group of two or more; root is
+    the group's smallest rid. Equal texts are grouped first, and only one of them goes on."""
+    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("digest")
+    slim = stored(base.select("rid", digest), "near-digests")
+    classes = slim.groupBy("digest").agg(F.min("rid").alias("root"), F.count(F.lit(1)).alias("c"))
+    copies = slim.join(classes.where("c > 1"), "digest").select(F.col("rid").alias("u"), F.col("root").alias("v"))
+    signatures = stored(_signatures(base, words, similarity, max_segments), "near-keys")
+    single = signatures.join(classes.select(F.col("root").alias("rid")), "rid")
+    keyed = single.select("rid", "n", F.posexplode("keys").alias("at", "key"), "keys").select(
+        "rid", "n", "key",
+        F.xxhash64("key", F.element_at("keys", (F.col("at") + 1) % F.size("keys") + 1),
+                   F.element_at("keys", (F.col("at") + 2) % F.size("keys") + 1)).alias("chain"))
+    pairs = stored(_candidates(keyed, similarity, max_paired), "near-pairs")
+    concerned = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
+    sets = stored(_shingle_sets(base.select("rid", "text").join(concerned, "rid"), words), "near-sets")
+    links = stored(_verified(pairs, sets, similarity).unionByName(copies.where("u <> v")), "near-links")
+    return components(links).select(F.col("node").alias("rid"), "root")
+
+
+def without_near_duplicates(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY, **options) -> DataFrame:
+    """One document of each group of near-duplicates (the first row), and all documents of no group, with
+    all their columns."""
+    columns = documents.columns
+    base = stored(documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)],
+                                   F.col("text").alias("text"), F.monotonically_increasing_id().alias("rid"))
+                  .drop(f"k{columns.index('text')}"), "near-base")
+    groups = near_duplicates(base.select("rid", "text"), words, similarity, **options)
+    gone = groups.where("rid <> root").select("rid")
+    kept = base.join(gone, "rid", "left_anti")
+    return kept.select(*[F.col("text" if c == "text" else f"k{i}").alias(c) for i, c in enumerate(columns)])
