@@ -15,10 +15,10 @@ from strataloom.functions.porter2 import stem
 WS = "[\\t-\\r \\u0085\\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]"
 _WS = re.compile(f"{WS}+")
 
-#: Cuts between words and inside camelCase ones.
-_CUT = ("[^\\p{IsAlphabetic}\\p{N}]+"
-        "|(?<=[\\p{IsLowercase}\\p{N}])(?=\\p{IsUppercase})"
-        "|(?<=\\p{IsUppercase})(?=\\p{IsUppercase}\\p{IsLowercase})")
+#: What parts words, and the places inside camelCase ones.
+_APART = "[^\\p{IsAlphabetic}\\p{N}]+"
+_INSIDE = ("(?<=[\\p{IsLowercase}\\p{N}])(?=\\p{IsUppercase})"
+           "|(?<=\\p{IsUppercase})(?=\\p{IsUppercase}\\p{IsLowercase})")
 
 
 def collapse(c: Column) -> Column:
@@ -85,12 +85,12 @@ def _stemmed(tokens: pd.Series) -> pd.Series:
 def analyzed(c: Column, stemming: bool = True) -> Column:
     """Tokens of a text, repeats included: words cut at what is not a letter or digit and inside camelCase,
     lower-cased, stemmed."""
-    words = F.transform(F.filter(F.split(c, _CUT), lambda w: w != ""), F.lower)
-    return _stemmed(words) if stemming else words
-
-
-def _is_upper(ch: str) -> bool:
-    return ch.isupper()
+    words = F.filter(F.split(c, _APART), lambda w: w != "")
+    # Only a word with a capital behind its first letter can be cut; the rest skip the slower pattern.
+    parts = F.flatten(F.transform(words, lambda w: F.when(
+        F.substring(w, 2, 1 << 30) != F.lower(F.substring(w, 2, 1 << 30)), F.split(w, _INSIDE)).otherwise(F.array(w))))
+    lowered = F.transform(parts, F.lower)
+    return _stemmed(lowered) if stemming else lowered
 
 
 def analyze(s: str, stemming: bool = True) -> list[str]:

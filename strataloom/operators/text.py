@@ -46,10 +46,10 @@ def term_freqs(bodies: DataFrame, stemming: bool = True) -> DataFrame:
 
 
 def build(bodies: DataFrame, stemming: bool = True) -> TextIndex:
-    """Index of rows (scope, id, body); a text without a token is no document."""
-    postings = term_freqs(bodies, stemming)
-    docs = postings.groupBy("scope", "id").agg(F.sum("tf").cast("long").alias("len"))
-    return TextIndex(postings, docs, corpus_stats(docs))
+    """Index of rows (scope, id, body), one row per id; a text without a token is no document. Lengths come
+    straight from the texts: only the postings shuffle."""
+    docs = bodies.select("scope", "id", F.size(X.analyzed(F.col("body"), stemming)).cast("long").alias("len")).where("len > 0")
+    return TextIndex(term_freqs(bodies, stemming), docs, corpus_stats(docs))
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

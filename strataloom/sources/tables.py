@@ -92,8 +92,15 @@ def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
         _props(content=string_value(F.col("text")), lang=string_value(F.col("lang"))).alias("props"))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table that lies in fewer pieces than there are cores, dealt to all of them; a table of many
+    pieces is left alone."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
+
 def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select(key_id("D", "doc_id").alias("id"), F.col("source").alias("scope"),
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select(key_id("D", "doc_id").alias("id"), F.col("source").alias("scope"),
                                                    F.col("text").alias("body"))
 
 
