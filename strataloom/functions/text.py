@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from strataloom.functions.porter2 import stem
 
@@ -61,12 +62,12 @@ def content_hash(s: str) -> str:
     return f"{h:016x}"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def content_hashes(contents: pd.Series) -> pd.Series:
     return contents.map(content_hash, na_action="ignore")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stemmed(tokens: pd.Series) -> pd.Series:
     known: dict[str, str] = {}
 
@@ -179,7 +180,7 @@ def relation(a: str, b: str) -> str:
     return "supersession" if negated_a & asserted_b or negated_b & asserted_a else "duplicate"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def relations(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([relation(x or "", y or "") for x, y in zip(a, b)])
 
