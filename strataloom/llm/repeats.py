@@ -16,8 +16,11 @@ another document or the same one, overlaps included - is removed. Strings are ju
    are longest common prefixes compared byte by byte; all others follow by streaming along the text,
    because within a run the prefix shrinks by one per step. The larger of the two neighbours' prefixes
    is the matching statistic of a position; positions of at least `length` mark their match.
-4. An anchor with more than `max_variants` different contexts would overfill a bucket. Its contexts are
-   resolved exactly by the digests of their strings, counted by a distributed aggregate.
+4. An anchor with more than `max_variants` different contexts would overfill a bucket. A string of
+   `length` bytes about an anchor holds one of `FINER` longer grams about it, so its contexts are told
+   apart by those; contexts that share none with another are done, the others go to buckets by them. Where
+   even a longer gram is that common, the strings themselves are counted by their digests in a distributed
+   aggregate, which is exact and holds no group in one task.
 
 Defined results: a null text is empty; texts shorter than `length` bytes lose nothing; equal rows are
 documents of their own and repeat each other; an empty table gives no row; other columns are ignored.
@@ -39,6 +42,8 @@ from strataloom.llm.common import U64, Powers, byte_codes, dropped, mix64, steps
 LENGTH = 400
 GRAM = 128
 MAX_VARIANTS = 512
+#: Longer grams about a crowded anchor.
+FINER = 4
 #: Context bytes of a bucket, on average.
 BUCKET_BYTES = 1 << 20
 
@@ -246,6 +251,29 @@ def _window_digests(contexts: DataFrame, length: int) -> DataFrame:
     return contexts.select("rid", "start", "ctx").mapInArrow(run, "rid long, a long, d1 long, d2 long")
 
 
+def _longer_grams(contexts: DataFrame, length: int, gram: int) -> DataFrame:
+    """(cid, d1, d2): digests of the FINER grams about each context's anchor. The j-th reaches from
+    j / FINER of the way left to the rest of the way right, less one part; a string of `length` bytes that
+    starts in the j-th part holds it whole."""
+    spare = length - gram
+    cuts = [spare * j // FINER for j in range(FINER + 1)]
+
+    def run(batches):
+        for batch in batches:
+            cids, out = [], []
+            for cid, at, fp, ctx in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                for j in range(FINER):
+                    a, b = at - cuts[j], at + gram + spare - cuts[j + 1]
+                    if a >= 0 and b <= len(ctx):
+                        cids.append(cid)
+                        out.append(hashlib.blake2b(ctx[a:b], digest_size=16, salt=b"%d" % j, key=fp.to_bytes(8, "little", signed=True)).digest())
+            pair = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])],
+                                             ["cid", "d1", "d2"])
+
+    return contexts.select("cid", "at", "fp", "ctx").mapInArrow(run, "cid long, d1 long, d2 long")
+
+
 def repeat_spans(base: DataFrame, length: int = LENGTH, gram: int = GRAM, max_variants: int = MAX_VARIANTS,
                  bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame, DataFrame]:
     """(rid, text) of the documents that hold a repeated anchor, and marks (rid, a, b) whose union is
@@ -273,16 +301,23 @@ def repeat_spans(base: DataFrame, length: int = LENGTH, gram: int = GRAM, max_va
     each = touched.where("reps is not null").select("rid", F.encode("text", "UTF-8").alias("raw"), F.explode("reps").alias("r"))
     begin = F.greatest(F.col("r.pos") - left, F.lit(0))
     contexts = stored(each.select(
-        "rid", begin.cast("long").alias("start"), F.col("r.fp").alias("fp"), F.col("r.crowded").alias("crowded"),
+        "rid", begin.cast("long").alias("start"), (F.col("r.pos") - begin).cast("int").alias("at"), F.col("r.fp").alias("fp"),
+        F.col("r.crowded").alias("crowded"), F.monotonically_increasing_id().alias("cid"),
         F.expr(f"substring(raw, greatest(r.pos - {left}, 0) + 1, r.pos + {length} - greatest(r.pos - {left}, 0))").alias("ctx")
     ).where(F.octet_length("ctx") >= length), "contexts")
-    size = contexts.where("not crowded").agg(F.sum(F.octet_length("ctx"))).first()[0] or 0
+    finer = stored(_longer_grams(contexts.where("crowded"), length, gram), "longer-grams")
+    common = finer.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    alive = stored(finer.join(common, ["d1", "d2"]), "common-grams")
+    texts = contexts.where("crowded").select("cid", "rid", "start", "ctx")
+    regrouped = alive.where(F.col("c") <= max_variants).select("cid", F.xxhash64("d1", "d2").alias("key")).join(texts, "cid")
+    plain = contexts.where("not crowded").select("cid", F.xxhash64("fp").alias("key"), "rid", "start", "ctx")
+    indexed = plain.unionByName(regrouped)
+    size = indexed.agg(F.sum(F.octet_length("ctx"))).first()[0] or 0
     buckets = max(1, -(-size // bucket_bytes))
-    found = contexts.where("not crowded").select(
-        F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket"), "rid", "start", "ctx"
-    ).groupBy("bucket").applyInPandas(_bucket_task(length), "rid long, a long, b long")
+    found = indexed.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "rid", "start", "ctx").groupBy(
+        "bucket").applyInPandas(_bucket_task(length), "rid long, a long, b long")
 
-    digests = _window_digests(contexts.where("crowded"), length)
+    digests = _window_digests(texts.join(alive.where(F.col("c") > max_variants).select("cid").distinct(), "cid"), length)
     seen = digests.groupBy("d1", "d2").agg(
         F.min(F.struct("rid", "a")).alias("lo"), F.max(F.struct("rid", "a")).alias("hi")).where("lo <> hi")
     strings = digests.join(seen.select("d1", "d2"), ["d1", "d2"]).select("rid", "a", (F.col("a") + length).alias("b"))
