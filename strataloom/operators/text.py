@@ -52,6 +52,22 @@ def build(bodies: DataFrame, stemming: bool = True) -> TextIndex:
     return TextIndex(term_freqs(bodies, stemming), docs, corpus_stats(docs))
 
 
+def save(index: TextIndex, path: str) -> TextIndex:
+    """Write an index and read it back. Postings are laid out by term, so that a request's few terms are
+    found by the statistics and Bloom filters of the files, and no text is analysed again."""
+    index.postings.repartitionByRange("term").sortWithinPartitions("term", "scope", "id").write.option(
+        "parquet.bloom.filter.enabled#term", "true").parquet(f"{path}/postings")
+    index.docs.repartition("scope", "id").write.parquet(f"{path}/docs")
+    load(index.docs.sparkSession, path, False).docs.transform(corpus_stats).coalesce(1).write.parquet(f"{path}/stats")
+    return load(index.docs.sparkSession, path)
+
+
+def load(spark, path: str, with_stats: bool = True) -> TextIndex:
+    docs = spark.read.parquet(f"{path}/docs")
+    stats = spark.read.parquet(f"{path}/stats") if with_stats else corpus_stats(docs)
+    return TextIndex(spark.read.parquet(f"{path}/postings"), docs, stats)
+
+
 def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("scope").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("len").cast("long").alias("total_len"))
 

@@ -4,6 +4,8 @@ Orderings end with an id; sums of doubles are rounded on both sides."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from strataloom.functions import text as X
 from strataloom.model import MEMORY, RecallQuery, ScopeSet, not_superseded
 from strataloom.operators import fold, graph, hygiene, lookup, recall, text, vector
 from strataloom.sources import tables
+from strataloom.sources.shared import shared_dir
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -401,8 +404,17 @@ _TERMS = ("with", "der", "thing", "stion")
 _BM25 = "ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (total_len / n_docs)))"
 
 
+_SAVED: dict[tuple[str, str], str] = {}
+
+
 def _index(spark, d) -> text.TextIndex:
-    return text.build(tables.bodies(spark, d), stemming=False)
+    """The saved text index of the documents, built when it is first asked for in this application."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _SAVED:
+        path = f"{shared_dir(spark)}/text-index-{uuid.uuid4().hex}"
+        text.save(text.build(tables.bodies(spark, d), stemming=False), path)
+        _SAVED[key] = path
+    return text.load(spark, _SAVED[key])
 
 
 @query("term_freq", f"with {_TOKENS_SQL} select scope, id, term, tf from tf where term in ('with', 'und', 'les')")
@@ -413,12 +425,12 @@ def _(spark, d):
 
 @query("corpus_stats", f"with {_TOKENS_SQL} select scope, n_docs, cast(total_len as bigint) as total_len from stats")
 def _(spark, d):
-    return _index(spark, d).stats
+    return text.build(tables.bodies(spark, d), stemming=False).stats
 
 
 @query("doc_freq", f"with {_TOKENS_SQL} select scope, term, df from dfs where df >= 3")
 def _(spark, d):
-    return text.doc_freq(_index(spark, d).postings).where("df >= 3")
+    return text.doc_freq(text.build(tables.bodies(spark, d), stemming=False).postings).where("df >= 3")
 
 
 @query("scope_vocabulary", f"with {_TOKENS_SQL} select distinct term from tf where scope = 'src3'")
