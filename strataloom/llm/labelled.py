@@ -22,6 +22,14 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, modulus
     return texts.join(F.broadcast(chosen), "doc_id").groupBy("text").agg(F.max("y").alias("y"))
 
 
+def text_sample(documents: DataFrame, rows: int, *keep: str) -> DataFrame:
+    """(text, *keep) of at most `rows` documents in the order of a hash of their id. Only ids are sorted;
+    the texts are fetched by a join with the ids that were chosen, and never meet in one task."""
+    chosen = documents.where(F.col("doc_id").isNotNull()).select("doc_id").distinct().orderBy(
+        F.xxhash64("doc_id"), "doc_id").limit(rows)
+    return documents.select("doc_id", "text", *keep).join(F.broadcast(chosen), "doc_id").select("text", *keep)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Ridge logistic regression by Newton's method on standardised columns: (mean, scale, weights with
     the intercept last). One class alone gives its smoothed log-odds as intercept."""

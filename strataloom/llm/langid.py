@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.labelled import fold
+from strataloom.llm.labelled import fold, text_sample
 
 SAMPLE_ROWS = 4_000
 WINDOWS, WINDOW = 4, 48
@@ -122,8 +122,8 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans
 
 def _sample(documents: DataFrame, modulus: int, held_out: int, rows: int) -> list[tuple[str, list[str]]]:
     """(language, window of words) from a bounded sample of labelled texts."""
-    chosen = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(modulus) != held_out)).select(
-        "lang", "text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy("h", "doc_id").limit(rows)
+    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(modulus) != held_out))
+    chosen = text_sample(usable, rows, "lang")
 
     def run(batches):
         for batch in batches:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataloom.llm.common import steps, text_bytes
-from strataloom.llm.labelled import fold, labelled_sample
+from strataloom.llm.labelled import fold, labelled_sample, text_sample
 from strataloom.llm.words import LOWER, UNBLANK, word_bounds, word_hashes, window_hashes
 
 SAMPLE_ROWS = 12_000
@@ -170,8 +170,7 @@ def fitted(documents: DataFrame, labels: DataFrame, modulus: int = 3, held_out:
     counts = dict(labels.where(F.col("quality").isin(0, 1) & (fold(modulus) != held_out)).groupBy("quality").count().collect())
     prior = float(np.clip((counts.get(1, 0) + 1) / (sum(counts.values()) + 2), 0.05, 0.95))
     trusted = labelled_sample(documents, labels.where("quality = 1"), "quality", modulus, held_out, rows).select("text")
-    web = documents.where(fold(modulus) != held_out).select("text", F.xxhash64("doc_id").alias("h"), "doc_id").orderBy(
-        "h", "doc_id").limit(rows).select("text")
+    web = text_sample(documents.where(fold(modulus) != held_out), rows)
     positive, unlabelled = (np.array([r.f for r in _measured(s).collect()]).reshape(-1, len(MEASURES))
                             for s in (trusted, web))
     return fit_nnpu(positive, unlabelled, prior)
