@@ -41,6 +41,8 @@ MAX_CLEAN_SHARE = 0.04
 MAX_ENTRIES = 2_000
 MAX_MISTAKEN = 0.02
 WINDOW = 5
+#: Words whose weights a worker remembers.
+REMEMBERED = 100_000
 THRESHOLD = 0.3
 _STEMS = range(4, 8)
 _TOKEN = re.compile(r"\w+|[\"“”«»„]")
@@ -159,7 +161,7 @@ def features(text: str, automaton: LexiconAutomaton, known: dict[str, float]) ->
     for i, token in enumerate(tokens):
         weight = known.get(token)
         if weight is None:
-            if len(known) > 200_000:
+            if len(known) > REMEMBERED:
                 known.clear()
             weight = known[token] = automaton.match(token)
         if weight:
@@ -281,17 +283,18 @@ def _features(df: DataFrame, text: str, keep: list[str], entries: dict, exact: f
 def scored(documents: DataFrame, model: tuple, keep: list[str]) -> DataFrame:
     """The columns `keep` and `score` (0 to 1) for every row."""
     entries, exact, fit = model
-    kept = documents.select(*[F.col(c).alias(c) for c in keep], F.col("text").alias("__text"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    # The text goes to the workers once, whether or not it is kept.
+    kept = documents.select(*keep, *([] if "text" in keep else ["text"]))
+    at = kept.columns.index("text")
+    out = [f for f in kept.schema.fields if f.name in keep]
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
 
     def run(batches):
         automaton, known = LexiconAutomaton(entries, exact), {}
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
-            x = np.array([features(t.as_py() or "", automaton, known) for t in texts]).reshape(-1, FEATURES)
+            x = np.array([features(t.as_py() or "", automaton, known) for t in batch.column(at)]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(probability(x, fit))],
-                [*batch.schema.names[:-1], "__score"])
+                [*[batch.column(i) for i in range(len(out))], pa.array(probability(x, fit))], [*[f.name for f in out], "__score"])
 
     return kept.mapInArrow(run, f"{types}, `__score` double")
 
