@@ -19,8 +19,8 @@ another document or the same one, overlaps included - is removed. Strings are ju
 4. An anchor with more than `max_variants` different contexts would overfill a bucket. A string of
    `length` bytes about an anchor holds one of `FINER` longer grams about it, so its contexts are told
    apart by those; contexts that share none with another are done, the others go to buckets by them. Where
-   even a longer gram is that common, the strings themselves are counted by their digests in a distributed
-   aggregate, which is exact and holds no group in one task.
+   even a longer gram is that common, ranges of starts are narrowed by digests in distributed aggregates,
+   down to single strings at the edges of what is shared; that is exact and holds no group in one task.
 
 Defined results: a null text is empty; texts shorter than `length` bytes lose nothing; equal rows are
 documents of their own and repeat each other; an empty table gives no row; other columns are ignored.
@@ -30,6 +30,7 @@ Removed bytes may cut a UTF-8 character; results are bytes, and `kept_text` deco
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pandas as pd
@@ -235,24 +236,65 @@ def _bucket_spans(frame: pd.DataFrame, length: int) -> pd.DataFrame:
 # ---------------------------------------------------------------- distributed
 
 
-def _window_digests(contexts: DataFrame, length: int) -> DataFrame:
-    """Digest of every string of `length` bytes of the contexts, with its place."""
+def _parts(lo: int, hi: int) -> list[tuple[int, int]]:
+    """The range [lo, hi] cut into at most FINER ranges that depend on lo and hi alone."""
+    edges = sorted({lo + (hi + 1 - lo) * k // FINER for k in range(FINER + 1)})
+    return [(x, y - 1) for x, y in zip(edges, edges[1:])]
+
+
+def _range_digests(ranges: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """Digests that settle or split ranges of starts. A start is counted in bytes left of the anchor. For
+    each range: the string that all its starts together cover (`whole`), and for each of its parts the
+    string that every start of the part covers; a part of one start is `whole` itself."""
+    lists = ranges.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
 
     def run(batches):
         for batch in batches:
-            for rid, start, ctx in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                n = len(ctx) - length + 1
-                pair = np.frombuffer(b"".join(hashlib.blake2b(ctx[i : i + length], digest_size=16).digest()
-                                              for i in range(n)), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, rid)), pa.array(start + np.arange(n)), pa.array(pair[:, 0]),
-                     pa.array(pair[:, 1])], ["rid", "a", "d1", "d2"])
-
-    return contexts.select("rid", "start", "ctx").mapInArrow(run, "rid long, a long, d1 long, d2 long")
+            out, digests = [], []
+            for cid, at, fp, ctx, own in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                for r in own:
+                    lo, hi = r["lo"], r["hi"]
+                    strings = [(lo, hi, at - hi, at + length - lo, True)]
+                    if lo < hi:
+                        strings += [(x, y, at - x, at + length - y, x == y) for x, y in _parts(lo, hi)]
+                    for x, y, a, b, whole in strings:
+                        if a >= 0 and b <= len(ctx):
+                            out.append((cid, lo, hi, x, y, whole))
+                            digests.append(hashlib.blake2b(ctx[a:b], digest_size=16, salt=struct.pack("<II?", x, y, whole),
+                                                           key=fp.to_bytes(8, "little", signed=True)).digest())
+            pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
+            cols = list(zip(*out)) if out else [[]] * 6
+            kinds = (pa.int64(), *[pa.int32()] * 4, pa.bool_())
+            yield pa.RecordBatch.from_arrays(
+                [*[pa.array(c, t) for c, t in zip(cols, kinds)], pa.array(pair[:, 0]), pa.array(pair[:, 1])],
+                ["cid", "from_lo", "from_hi", "lo", "hi", "whole", "d1", "d2"])
+
+    return contexts.join(lists, "cid").select("cid", "at", "fp", "ctx", "ranges").mapInArrow(
+        run, "cid long, from_lo int, from_hi int, lo int, hi int, whole boolean, d1 long, d2 long")
+
+
+def _settled(ranges: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
+    """(cid, lo, hi): ranges of starts all of whose strings are repeated, found by narrowing `ranges`.
+    Strings of one anchor and one start are compared by digest, in distributed aggregates; a range is
+    settled when its whole string is common, given up when its shared one is not, else cut into parts. The
+    rounds end with single starts: their number grows with the logarithm of a range's length."""
+    settled, ranges = None, stored(ranges, "ranges")
+    while settled is None or not ranges.isEmpty():
+        digests = stored(_range_digests(ranges, contexts, length), "range-digests")
+        dropped(ranges)
+        common = digests.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+        hits = stored(digests.join(common.drop("c"), ["d1", "d2"]).drop("d1", "d2"), "range-hits")
+        dropped(digests)
+        done = hits.where("whole").select("cid", "lo", "hi")
+        settled = done if settled is None else settled.unionByName(done)
+        whole = done.withColumnsRenamed({"lo": "from_lo", "hi": "from_hi"})
+        ranges = stored(hits.where("not whole").join(whole, ["cid", "from_lo", "from_hi"], "left_anti").select(
+            "cid", "lo", "hi"), "ranges")
+    return settled
 
 
 def _longer_grams(contexts: DataFrame, length: int, gram: int) -> DataFrame:
-    """(cid, d1, d2): digests of the FINER grams about each context's anchor. The j-th reaches from
+    """(cid, lo, hi, d1, d2): digests of the FINER grams about each context's anchor. The j-th reaches from
     j / FINER of the way left to the rest of the way right, less one part; a string of `length` bytes that
     starts in the j-th part holds it whole."""
     spare = length - gram
@@ -260,18 +302,22 @@ def _longer_grams(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            cids, out = [], []
+            cids, parts, out = [], [], []
             for cid, at, fp, ctx in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 for j in range(FINER):
                     a, b = at - cuts[j], at + gram + spare - cuts[j + 1]
                     if a >= 0 and b <= len(ctx):
                         cids.append(cid)
+                        parts.append((cuts[j], cuts[j + 1]))
                         out.append(hashlib.blake2b(ctx[a:b], digest_size=16, salt=b"%d" % j, key=fp.to_bytes(8, "little", signed=True)).digest())
             pair = np.frombuffer(b"".join(out), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(cids, pa.int64()), pa.array(pair[:, 0]), pa.array(pair[:, 1])],
-                                             ["cid", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(cids, pa.int64()), pa.array([x for x, _ in parts], pa.int32()),
+                 pa.array([y for _, y in parts], pa.int32()), pa.array(pair[:, 0]), pa.array(pair[:, 1])],
+                ["cid", "lo", "hi", "d1", "d2"])
 
-    return contexts.select("cid", "at", "fp", "ctx").mapInArrow(run, "cid long, d1 long, d2 long")
+    return contexts.select("cid", "at", "fp", "ctx").mapInArrow(
+        run, "cid long, lo int, hi int, d1 long, d2 long")
 
 
 def repeat_spans(base: DataFrame, length: int = LENGTH, gram: int = GRAM, max_variants: int = MAX_VARIANTS,
@@ -317,10 +363,10 @@ def repeat_spans(base: DataFrame, length: int = LENGTH, gram: int = GRAM, max_va
     found = indexed.select(F.pmod("key", F.lit(buckets)).alias("bucket"), "rid", "start", "ctx").groupBy(
         "bucket").applyInPandas(_bucket_task(length), "rid long, a long, b long")
 
-    digests = _window_digests(texts.join(alive.where(F.col("c") > max_variants).select("cid").distinct(), "cid"), length)
-    seen = digests.groupBy("d1", "d2").agg(
-        F.min(F.struct("rid", "a")).alias("lo"), F.max(F.struct("rid", "a")).alias("hi")).where("lo <> hi")
-    strings = digests.join(seen.select("d1", "d2"), ["d1", "d2"]).select("rid", "a", (F.col("a") + length).alias("b"))
+    settled = _settled(alive.where(F.col("c") > max_variants).select("cid", "lo", "hi"),
+                       contexts.where("crowded").select("cid", "at", "fp", "ctx"), length)
+    strings = settled.join(contexts.select("cid", "rid", "start", "at"), "cid").select(
+        "rid", (F.col("start") + F.col("at") - F.col("hi")).alias("a"), (F.col("start") + F.col("at") - F.col("lo") + length).alias("b"))
 
     whole = copies.join(touched.select("rid", F.octet_length("text").alias("n")), "rid").select(
         "rid", F.greatest(F.col("pos") - left, F.lit(0)).cast("long").alias("a"),

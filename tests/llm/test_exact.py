@@ -28,7 +28,7 @@ def docs_of(seed, n=80):
     return out + [(300, None), (301, ""), (302, "a" * 500), (303, "ab" * 300), (None, "xyz" * 40), (302, "a" * 500)]
 
 
-@pytest.mark.parametrize("variants", [2, 1000])
+@pytest.mark.parametrize("variants", [0, 2, 1000])
 def test_repeats(spark, variants):
     docs, n = docs_of(3), 60
     seen = Counter(r[k : k + n] for _, t in docs for r in [(t or "").encode()] for k in range(len(r) - n + 1))
