@@ -35,6 +35,7 @@ import struct
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +46,8 @@ GRAM = 128
 MAX_VARIANTS = 512
 #: Longer grams about a crowded anchor.
 FINER = 4
+#: Bytes scanned for anchors at once: their hashes fit a processor's cache.
+ANCHOR_STEP = 1 << 18
 #: Context bytes of a bucket, on average.
 BUCKET_BYTES = 1 << 20
 
@@ -103,15 +106,14 @@ def _anchors(base: DataFrame, length: int, gram: int) -> DataFrame:
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             rids = batch.column(0).to_numpy(zero_copy_only=False)
-            for a, b in steps(offsets):
+            for a, b in steps(offsets, ANCHOR_STEP):
                 part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 at, fp = anchor_places(part, off, length, gram)
                 row = np.searchsorted(off, at, side="right") - 1
                 view = memoryview(part.tobytes())
                 begin = np.maximum(at - left, off[row])
                 end = np.minimum(at + length, off[row + 1])
-                digests = b"".join(hashlib.blake2b(view[x:y], digest_size=16).digest()
-                                   for x, y in zip(begin.tolist(), end.tolist()))
+                digests = b"".join([xxhash.xxh3_128_digest(view[x:y]) for x, y in zip(begin.tolist(), end.tolist())])
                 pair = np.frombuffer(digests, np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(rids[a + row]), pa.array((at - off[row]).astype(np.int32)), pa.array(fp.view(np.int64)),
@@ -130,9 +132,9 @@ class RunLengthIndex:
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(sizes + 1) - sizes - 1
         n = int((sizes + 1).sum())
-        symbols = np.zeros(n + 8, np.int64)  # 0 ends a text, bytes are 1 to 256
+        symbols = np.zeros(n + 8, np.int16)  # 0 ends a text, bytes are 1 to 256
         for at, t in zip(self.starts.tolist(), texts):
-            symbols[at : at + len(t)] = np.frombuffer(t, np.uint8).astype(np.int64) + 1
+            symbols[at : at + len(t)] = np.frombuffer(t, np.uint8).astype(np.int16) + 1
         self.symbols, self.n = symbols, n
         self.text_of = np.repeat(np.arange(len(texts)), sizes + 1)
         self.rest = self.starts[self.text_of] + sizes[self.text_of] - np.arange(n)  # symbols before the end
@@ -154,7 +156,7 @@ class RunLengthIndex:
         key = np.zeros(n, np.int64)
         for j in range(7):
             key = key << 9 | np.where(rest >= j, self.symbols[j : n + j], 0)
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ordered = key[order]
         first = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         rank = np.empty(n, np.int64)
@@ -167,11 +169,11 @@ class RunLengthIndex:
                 return order
             who = order[slots]
             follow = np.where(rest[who] < h, self.text_of[who], ends + rank[np.minimum(who + h, n - 1)])
-            sub = np.lexsort((follow, rank[who]))
-            who, follow = who[sub], follow[sub]
+            pair = rank[who] * (ends + n) + follow
+            sub = np.argsort(pair)
+            who, pair = who[sub], pair[sub]
             order[slots] = who
-            old = rank[who]
-            new_first = np.concatenate([[True], (old[1:] != old[:-1]) | (follow[1:] != follow[:-1])])
+            new_first = np.concatenate([[True], pair[1:] != pair[:-1]])
             first[slots] = new_first
             rank[who] = slots[np.maximum.accumulate(np.where(new_first, np.arange(len(slots)), 0))]
             h *= 2
@@ -191,6 +193,7 @@ class RunLengthIndex:
             run = np.where(same.all(axis=1), step, same.argmin(axis=1))
             out[live] += run
             live = live[(run == step) & (out[live] < limit)]
+            step = min(2 * step, 128)
         return out
 
     def matching_statistics(self) -> np.ndarray:
