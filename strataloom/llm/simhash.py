@@ -344,9 +344,12 @@ def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILAR
         F.xxhash64("key", F.element_at("keys", (F.col("at") + 1) % F.size("keys") + 1),
                    F.element_at("keys", (F.col("at") + 2) % F.size("keys") + 1)).alias("chain"))
     pairs = stored(_candidates(keyed, similarity, max_paired), "near-pairs")
+    dropped(signatures)
     concerned = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
     sets = stored(_shingle_sets(base.select("rid", "text").join(concerned, "rid"), words), "near-sets")
     links = stored(_verified(pairs, sets, similarity).unionByName(copies.where("u <> v")), "near-links")
+    for done in (slim, pairs, sets):
+        dropped(done)
     return components(links).select(F.col("node").alias("rid"), "root")
 
 
