@@ -24,7 +24,9 @@ a shingle belongs to one of c classes by its hash, each class has a 64-bit SimHa
 these are the ring's segments. Two sets of n shingles with similarity s differ in at most
 2n(1-s)/(1+s) shingles, so with more classes than that some segment is untouched and equal. Long
 texts use a fixed number of their classes (`max_segments`); candidates are verified by the exact
-similarity of the sets.
+similarity of the sets. Keys of more than `max_paired` texts first give stars and pairs of longer chains;
+where these leave such a key's members in several groups, all members of different groups are compared
+by parity sketches, block by block, and what the sketches allow is verified (`_crowded_links`).
 
 Defined results: null and empty texts have fingerprint zero and are linked with each other (in
 `near_duplicates` they form one group too); repeated rows share a fingerprint and a component; a null
@@ -35,6 +37,7 @@ columns are ignored by `simhash_components` and kept by `near_duplicates`.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -221,8 +224,12 @@ def op7_query(spark, sf_dir):
 
 SIMILARITY = 0.8
 MAX_SEGMENTS = 24
-#: Members of a key that are compared with each other; more go by longer chains, then by stars.
+#: Members of a key that are paired by a join; more go by longer chains and stars, then by sketches.
 MAX_PAIRED = 8
+#: Bits of a parity sketch, and those of its first part, which is looked at first.
+SKETCH_BITS, GLANCE_BITS = 4096, 1024
+#: Members of a crowded key that one task compares with as many others.
+BLOCK = 2048
 
 
 def class_count(scale: int, similarity: float) -> int:
@@ -309,7 +316,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 def _candidates(keyed: DataFrame, similarity: float, max_paired: int) -> DataFrame:
     """Pairs of rows that share a key. `keyed` has rid, n, key and chain (the key with the next ones of the
     same text's ring). A crowded key is told apart by its chain; rows that agree even in a crowded chain
-    meet its smallest member."""
+    meet its smallest member. What that leaves apart is for `_crowded_links`."""
     out = None
     for level in ("key", "chain"):
         sizes = keyed.groupBy(level).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("rid", "n")).alias("low")).where("c > 1")
@@ -329,6 +336,119 @@ def _candidates(keyed: DataFrame, similarity: float, max_paired: int) -> DataFra
     return out.distinct()
 
 
+def _sketches(base: DataFrame, words: int) -> DataFrame:
+    """(rid, n, sketch) of every row: a bit of the sketch is the parity of the shingles that fall on it, so two
+    sketches differ in at most as many bits as the sets differ in shingles."""
+
+    def run(batches):
+        for batch in batches:
+            data, offsets = text_bytes(batch.column(1))
+            sizes, out = [], []
+            for a, b in steps(offsets):
+                hashes, counts = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+                ends = np.cumsum(counts)
+                for e, c in zip(ends.tolist(), counts.tolist()):
+                    own = np.unique(hashes[e - c : e])
+                    bits = np.bincount((own % np.uint64(SKETCH_BITS)).astype(np.int64), minlength=SKETCH_BITS) & 1
+                    sizes.append(len(own))
+                    out.append(np.packbits(bits.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], ["rid", "n", "sketch"])
+
+    return base.select("rid", "text").mapInArrow(run, "rid long, n long, sketch binary")
+
+
+def _forests(frame, similarity: float, count: int) -> list[tuple[int, int]]:
+    """Pairs of a block task's members (rid, block, comp, n, sketch, refused) that the sketches allow, that
+    were not refused, and that join different components: `count` disjoint spanning forests of them. A
+    task of two blocks compares members of one with members of the other."""
+    frame = frame.sort_values("n", kind="stable")
+    rid, n, block = (frame[c].to_numpy(np.int64) for c in ("rid", "n", "block"))
+    comp = np.unique(frame["comp"].to_numpy(np.int64), return_inverse=True)[1]
+    sketch = np.frombuffer(b"".join(map(bytes, frame["sketch"])), np.uint64).reshape(len(frame), -1)
+    glance, two = np.ascontiguousarray(sketch[:, : GLANCE_BITS // 64]), block.min() != block.max()
+    refused = [None if x is None else np.asarray(x, np.int64) for x in frame["refused"]]
+    least, allowed = (1 - similarity) / (1 + similarity), []
+    tops = np.searchsorted(n, n / similarity + 1e-6, side="right")
+    for i in range(len(rid)):
+        j = np.arange(i + 1, tops[i])
+        j = j[(comp[j] != comp[i]) & (block[j] != block[i])] if two else j[comp[j] != comp[i]]
+        for part in (glance, sketch):
+            apart = np.bitwise_count(part[j] ^ part[i]).sum(axis=1, dtype=np.int64)
+            near = apart <= least * (n[j] + n[i]) + 1e-6
+            j, apart = j[near], apart[near]
+        if refused[i] is not None and len(j):
+            fresh = ~np.isin(rid[j], refused[i])
+            j, apart = j[fresh], apart[fresh]
+        if len(j):
+            allowed.append((i, j[np.argsort(apart, kind="stable")]))
+    out = []
+    for _ in range(count):
+        label, left = comp.copy(), []
+        for i, j in allowed:
+            other = np.flatnonzero(label[j] != label[i])
+            kinds, at = np.unique(label[j[other]], return_index=True)
+            taken = other[at]
+            if len(taken):
+                label[np.isin(label, kinds)] = label[i]
+                out += [(int(rid[i]), int(rid[k])) for k in j[taken]]
+                j = np.delete(j, taken)
+            if len(j):
+                left.append((i, j))
+        allowed = left
+    return out
+
+
+def _forest_task(similarity: float, count: int):
+    def run(frame):
+        return pd.DataFrame(_forests(frame, similarity, count), columns=["u", "v"], dtype="int64")
+
+    return run
+
+
+def _crowded_links(base: DataFrame, members: DataFrame, links: DataFrame, words: int, similarity: float,
+                   block: int = BLOCK) -> DataFrame:
+    """`links` and further ones, so that members (key, rid) of one crowded key that are `similarity` alike
+    are connected. Only keys whose members are not yet connected are looked at. Each round takes
+    spanning forests of the pairs that the sketches allow, and verifies them: if none is refused, all
+    allowed pairs are connected. Refused pairs are not taken again, and the rounds take more forests each."""
+    sketches, refused, count = None, None, 1
+    while True:
+        roots = components(links)
+        placed = members.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select(
+            "key", "rid", F.coalesce("root", "rid").alias("comp"))
+        parted = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where(
+            "x <> y").select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
+        placed = stored(placed.join(parted, "key"), "near-crowded")
+        if placed.isEmpty():
+            return links
+        if sketches is None:
+            sketches = stored(_sketches(base.join(placed.select("rid").distinct(), "rid"), words), "near-sketches")
+        known = sketches.withColumn("refused", F.lit(None).cast("array<long>")) if refused is None else sketches.join(
+            refused.select(F.col("u").alias("rid"), "v").unionByName(refused.select(F.col("v").alias("rid"), F.col("u").alias("v")))
+            .groupBy("rid").agg(F.collect_set("v").alias("refused")), "rid", "left")
+        own = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block")
+        dealt = placed.select("key", "rid", "comp", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+            "key", "rid", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+        found = dealt.join(known, "rid").groupBy("key", "i", "j").applyInPandas(
+            _forest_task(similarity, count), "u long, v long")
+        pairs = stored(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-allowed")
+        concerned = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
+        sets = stored(_shingle_sets(base.join(concerned, "rid"), words), "near-sets")
+        alike = stored(_verified(pairs, sets, similarity), "near-alike")
+        links = links.unionByName(alike)
+        failed = stored(pairs.join(alike, ["u", "v"], "left_anti"), "near-refused")
+        for done in (placed, pairs, sets):
+            dropped(done)
+        if failed.isEmpty():
+            dropped(sketches)
+            return links
+        refused = failed if refused is None else refused.unionByName(failed)
+        again = members.join(failed.select(F.col("u").alias("rid")), "rid", "left_semi").select("key").distinct()
+        members, count = stored(members.join(again, "key"), "near-members"), count * 4
+
+
 def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILARITY, max_segments: int = MAX_SEGMENTS,
                     max_paired: int = MAX_PAIRED) -> DataFrame:
     """(rid, root) of the rows of `base` (unique rid, text) that belong to a group of two or more; root is
@@ -344,12 +464,16 @@ def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILAR
         F.xxhash64("key", F.element_at("keys", (F.col("at") + 1) % F.size("keys") + 1),
                    F.element_at("keys", (F.col("at") + 2) % F.size("keys") + 1)).alias("chain"))
     pairs = stored(_candidates(keyed, similarity, max_paired), "near-pairs")
+    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max_paired).select("key")
+    members = stored(keyed.select("key", "rid").join(crowded, "key"), "near-members")
     dropped(signatures)
     concerned = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
     sets = stored(_shingle_sets(base.select("rid", "text").join(concerned, "rid"), words), "near-sets")
     links = stored(_verified(pairs, sets, similarity).unionByName(copies.where("u <> v")), "near-links")
     for done in (slim, pairs, sets):
         dropped(done)
+    links = _crowded_links(base.select("rid", "text"), members, links, words, similarity)
+    dropped(members)
     return components(links).select(F.col("node").alias("rid"), "root")
 
 

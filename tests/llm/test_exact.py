@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 
@@ -175,6 +176,42 @@ def test_near_duplicates(spark):
     assert [got.get(a, a) for a in range(len(rows))] == [find(a) for a in range(len(rows))]
 
 
+def test_near_duplicates_of_crowded_keys(spark):
+    draw = random.Random(7)
+    rows, want = [], []
+    for _ in range(2):  # copies of a base that comes last: alike to it, hardly to each other
+        base, first = [f"w{draw.randrange(5000)}" for _ in range(200)], len(rows)
+        for _ in range(120):
+            w = list(base)
+            for at in draw.sample(range(10, 190), 4):
+                w[at] = f"x{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(w)))
+        rows.append((len(rows), " ".join(base)))
+        own = [frozenset(tuple(w[j : j + 5]) for j in range(len(w) - 4)) for _, t in rows[first:] for w in [t.split()]]
+        joined = [k for k, s in enumerate(own) if len(s & own[-1]) >= 0.8 * len(s | own[-1])]
+        assert len(joined) > 100
+        want.append({first + k for k in joined})
+    got = {}
+    for r in simhash.near_duplicates(spark.createDataFrame(rows, "rid long, text string")).collect():
+        got.setdefault(r.root, set()).add(r.rid)
+    for group in want:
+        assert any(group <= g for g in got.values())
+
+
+def test_forests_join_what_is_alike():
+    draw, rows = np.random.default_rng(3), []
+    base = draw.integers(0, 1 << 60, 300)
+    for k in range(60):
+        own = np.unique(np.concatenate([base[draw.permutation(300)[: 300 - 12 * (k % 3)]], draw.integers(0, 1 << 60, 12 * (k % 3))]))
+        bits = np.bincount(own % simhash.SKETCH_BITS, minlength=simhash.SKETCH_BITS) & 1
+        rows.append((k, k % 2, k, len(own), np.packbits(bits.astype(np.uint8)).tobytes(), None))
+    frame = pd.DataFrame(rows, columns=["rid", "block", "comp", "n", "sketch", "refused"])
+    one, three = simhash._forests(frame, 0.8, 1), simhash._forests(frame, 0.8, 3)
+    assert len(one) == 59 and set(one) < set(three) and len(set(three)) == len(three)
+    assert {x for pair in one for x in pair} == set(range(60))
+    assert all((a - b) % 2 for a, b in three)  # two blocks: one against the other only
+
+
 def test_pigeonring_masks_cover():
     masks, budgets = simhash.chain_keys(9, 2)
     full = (1 << 64) - 1
