@@ -694,6 +694,15 @@ def _(spark, d):
     return episodes.used_pairs(memories, texts)
 
 
+@query("used_rule_all")
+def _(spark, d):
+    """Over all documents; `used_rule` reads those that its SQL reads."""
+    from strataloom.operators import episodes
+
+    memories = tables.table(spark, d, "benchmark").select(F.col("item_id"), F.col("text").alias("memory"))
+    return episodes.used_pairs(memories, tables.table(spark, d, "documents").select("doc_id", "text"))
+
+
 @query("episode_returns", """select conv_id, turn, row_number() over (partition by conv_id order by turn) as rank from conversations where role = 'assistant'""")
 def _(spark, d):
     from strataloom.operators import episodes

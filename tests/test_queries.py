@@ -1,6 +1,8 @@
 """Every registered query of the library agrees with its SQL on the smallest tables."""
 
 import math
+import random
+import re
 from pathlib import Path
 
 import duckdb
@@ -44,3 +46,24 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.fixture(scope="module")
+def small(spark, tmp_path_factory):
+    """Tables with long, empty and null texts: their folder, the benchmark's and the documents' texts."""
+    draw, d = random.Random(4), str(tmp_path_factory.mktemp("small"))
+    vocabulary = [f"word{i}" for i in range(60)]
+    items = [(k, " ".join(draw.choices(vocabulary, k=draw.choice((4, 12, 30))))) for k in range(12)] + [(12, ""), (13, "a b")]
+    docs = [(k, " ".join(draw.choices(vocabulary, k=draw.choice((5, 40, 400))))) for k in range(24)] + [(24, ""), (25, None)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(k, t, len(t or "")) for k, t in docs], "doc_id long, text string, n_chars long").write.parquet(
+        f"{d}/documents.parquet")
+    assert sum(len(t or "") >= 1500 for _, t in docs) > 3
+    return d, items, docs
+
+
+def test_used_rule_all(spark, small):
+    d, items, docs = small
+    words = lambda t: set(re.findall("[a-z0-9]{3,}", (t or "").lower()))
+    want = {(i, k) for i, m in items for k, t in docs if words(m) and 2 * len(words(m) & words(t)) >= len(words(m))}
+    assert {tuple(r) for r in catalog.QUERIES["used_rule_all"](spark, d).select("item_id", "doc_id").collect()} == want
