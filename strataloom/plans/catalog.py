@@ -625,6 +625,14 @@ def _(spark, d):
     return hygiene.containment_pairs(m).select(F.col("u").alias("a"), F.col("v").alias("b"), F.round("score", 6).alias("similarity"))
 
 
+@query("dup_pairs_text_all")
+def _(spark, d):
+    """Over all documents and benchmark items; `dup_pairs_text` reads those that its SQL reads."""
+    m = tables.table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("content")).union(
+        tables.table(spark, d, "documents").select(F.col("doc_id") + 1000000, "text"))
+    return hygiene.containment_pairs(m).select(F.col("u").alias("a"), F.col("v").alias("b"), F.round("score", 6).alias("similarity"))
+
+
 @query("orphans", f"""with m as (select {_key('D', 'doc_id')} as id, source, lang, doc_id from documents)
   select id from (select id, lag(id) over (partition by source, lang order by id) as dst from m) where dst is null""")
 def _(spark, d):
