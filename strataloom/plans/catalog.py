@@ -677,11 +677,12 @@ def _(spark, d):
     c = tables.table(spark, d, "customer")
     from strataloom.model import string_value
 
-    entity = c.where("c_custkey <= 5").select(tables.key_id("C", "c_custkey").alias("id"), F.lit("shared").alias("scope"), F.lit("Entity").alias("label"),
+    entity = c.select(tables.key_id("C", "c_custkey").alias("id"), F.lit("shared").alias("scope"), F.lit("Entity").alias("label"),
                       F.create_map(F.lit("name"), string_value(F.when(F.col("c_custkey") == 1, "Acme  Corp").otherwise(F.col("c_name")))).alias("props"))
-    alias = c.where("c_custkey in (2, 3)").select(tables.key_id("A", "c_custkey").alias("id"), F.lit("shared").alias("scope"), F.lit("Alias").alias("label"),
-                      F.create_map(F.lit("name"), string_value(F.lit("ACME corp"))).alias("props"))
-    edges = c.where("c_custkey in (2, 3)").select(tables.key_id("L", "c_custkey").alias("id"), F.lit("shared").alias("scope"), F.lit("alias_of").alias("ty"),
+    alias = c.select(tables.key_id("A", "c_custkey").alias("id"), F.lit("shared").alias("scope"), F.lit("Alias").alias("label"),
+                     F.create_map(F.lit("name"), string_value(F.when(F.col("c_custkey").isin(2, 3), "ACME corp").otherwise(
+                         F.concat(F.lit("alias of "), F.col("c_name"))))).alias("props"))
+    edges = c.select(tables.key_id("L", "c_custkey").alias("id"), F.lit("shared").alias("scope"), F.lit("alias_of").alias("ty"),
                       tables.key_id("A", "c_custkey").alias("src"), tables.key_id("C", "c_custkey").alias("dst"), F.lit(0).cast("long").alias("valid_from"),
                       F.when(F.col("c_custkey") == 3, 5).cast("long").alias("valid_to"))
     return lookup.resolve_entities(entity.unionByName(alias), edges, ScopeSet(shared=True), " acme corp").select("id")
@@ -733,7 +734,7 @@ def _(spark, d):
 def _(spark, d):
     from strataloom.operators import episodes
 
-    includes = tables.table(spark, d, "lineitem").where("l_orderkey <= 400").select(F.col("l_orderkey").alias("version"), F.col("l_partkey").cast("string").alias("sha"))
+    includes = tables.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("version"), F.col("l_partkey").cast("string").alias("sha"))
     first = includes.agg(F.min("version")).first()[0]
     wanted = [r.sha for r in includes.where(F.col("version") == first).select("sha").distinct().collect()]
     return episodes.matching_versions(includes, wanted)

@@ -78,3 +78,13 @@ def test_dup_pairs_text_all(spark, small):
     want |= {(empty[0], b): 1.0 for b in empty[1:]}  # rows without a word are linked to the first of them
     got = catalog.QUERIES["dup_pairs_text_all"](spark, d).collect()
     assert {(r.a, r.b): r.similarity for r in got} == want and len(got) == len(want)
+
+
+def test_whole_lineitem_and_customer(spark, tmp_path):
+    lines = [(1, 7), (1, 9), (1, 9), (2, 7), (400, 7), (400, 8), (900, 9), (900, 7), (901, 7), (901, 9), (901, 10)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    assert sorted(r.version for r in catalog.QUERIES["policy_match"](spark, str(tmp_path)).collect()) == [1, 900]
+    names = [(k, "acme CORP" if k == 70 else f"Customer {k}") for k in (1, 2, 3, 4, 70, 71)]
+    spark.createDataFrame(names, "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    found = catalog.QUERIES["resolve_alias"](spark, str(tmp_path)).collect()
+    assert sorted(r.id for r in found) == ["C000000000001", "C000000000002", "C000000000070"]
