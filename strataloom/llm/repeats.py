@@ -334,14 +334,22 @@ def repeat_spans(base: DataFrame, length: int = LENGTH, gram: int = GRAM, max_va
     ).where("total > 1").select("fp", (F.col("lo") != F.col("hi")).alias("mixed"))
     again = stored(anchors.join(often, "fp"), "repeated-anchors")
     dropped(anchors)
+    # A context that both ends of its text clip is one place, however many anchors have it: it is no copy of
+    # itself, but may hold a repeat.
+    place = F.struct("rid", F.greatest(F.col("pos") - left, F.lit(0)).alias("start"))
     kinds = stored(again.groupBy("fp", "c1", "c2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "pos")).alias("rep"), F.max("mixed").alias("mixed")), "kinds")
-    copies = again.join(kinds.where("n > 1").select("fp", "c1", "c2"), ["fp", "c1", "c2"]).select("rid", "pos")
+        F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("other"),
+        F.min(F.struct("rid", "pos")).alias("rep"), F.max("mixed").alias("mixed")).select(
+        "fp", "c1", "c2", "rep", "mixed", (F.col("one") != F.col("other")).alias("copied"),
+        ((F.col("n") > 1) & (F.col("one") == F.col("other"))).alias("within")), "kinds")
+    copies = again.join(kinds.where("copied").select("fp", "c1", "c2"), ["fp", "c1", "c2"]).select("rid", "pos")
     crowded = kinds.where("mixed").groupBy("fp").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") > max_variants)
     crowd = crowded.select("fp", F.lit(True).alias("crowded"))
-    reps = kinds.where("mixed").join(crowd, "fp", "left").select(
-        F.col("rep.rid").alias("rid"), F.struct(F.col("rep.pos").alias("pos"), "fp",
-                                                F.coalesce("crowded", F.lit(False)).alias("crowded")).alias("r"))
+    lends = kinds.where("mixed or within").join(crowd, "fp", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    # A crowded anchor's digests compare contexts; repeats within one are found by its index.
+    ways = F.when(F.col("crowded") & F.col("within"), F.array(F.lit(True), F.lit(False))).otherwise(F.array("crowded"))
+    reps = lends.select("rep", "fp", F.explode(ways).alias("crowded")).select(
+        F.col("rep.rid").alias("rid"), F.struct(F.col("rep.pos").alias("pos"), "fp", "crowded").alias("r"))
     wanted = again.select("rid").distinct()
     # One pass over the texts: the documents concerned, each with the anchors whose contexts it lends.
     lent = reps.groupBy("rid").agg(F.collect_list("r").alias("reps"))

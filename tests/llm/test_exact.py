@@ -47,6 +47,23 @@ def test_repeats(spark, variants):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(want, key=key)
 
 
+def test_short_texts_that_hold_a_gram_twice(spark):
+    draw = random.Random(11)
+    junk = lambda n: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=n))
+    texts = [junk(n - 390) + junk(130) * 3 for n in (400, 430, 450, 500, 600, 671) for _ in range(6)]
+    texts += ["abc" * 200, junk(7) + "xy" * 220, junk(41) * 12, junk(450)]
+
+    def covered(raw):
+        counts = Counter(raw[i : i + 400] for i in range(len(raw) - 399))
+        return len({k for i in range(len(raw) - 399) if counts[raw[i : i + 400]] > 1 for k in range(i, i + 400)})
+
+    want = [covered(t.encode()) for t in texts]
+    assert not any(want[:36]) and all(want[36:39])
+    for options in ({}, {"max_variants": 0}):
+        rows = repeats.removed_repeats(spark.createDataFrame(list(enumerate(texts)), SCHEMA), **options).collect()
+        assert [r.n_removed for r in sorted(rows, key=lambda r: r.doc_id)] == want
+
+
 def test_run_length_index():
     texts = [b"banana bandana", b"ananas", b"", b"banana"]
     index = repeats.RunLengthIndex(texts)
