@@ -249,7 +249,7 @@ def _range_digests(ranges: DataFrame, contexts: DataFrame, length: int) -> DataF
     """Digests that settle or split ranges of starts. A start is counted in bytes left of the anchor. For
     each range: the string that all its starts together cover (`whole`), and for each of its parts the
     string that every start of the part covers; a part of one start is `whole` itself."""
-    lists = ranges.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    lists = ranges.groupBy("cid").agg(F.collect_list(F.struct("lo", "hi", "open")).alias("ranges"))
 
     def run(batches):
         for batch in batches:
@@ -262,37 +262,43 @@ def _range_digests(ranges: DataFrame, contexts: DataFrame, length: int) -> DataF
                         strings += [(x, y, at - x, at + length - y, x == y) for x, y in _parts(lo, hi)]
                     for x, y, a, b, whole in strings:
                         if a >= 0 and b <= len(ctx):
-                            out.append((cid, lo, hi, x, y, whole))
+                            out.append((cid, lo, hi, x, y, whole, r["open"]))
                             digests.append(hashlib.blake2b(ctx[a:b], digest_size=16, salt=struct.pack("<II?", x, y, whole),
                                                            key=fp.to_bytes(8, "little", signed=True)).digest())
             pair = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            cols = list(zip(*out)) if out else [[]] * 6
-            kinds = (pa.int64(), *[pa.int32()] * 4, pa.bool_())
+            cols = list(zip(*out)) if out else [[]] * 7
+            kinds = (pa.int64(), *[pa.int32()] * 4, pa.bool_(), pa.bool_())
             yield pa.RecordBatch.from_arrays(
                 [*[pa.array(c, t) for c, t in zip(cols, kinds)], pa.array(pair[:, 0]), pa.array(pair[:, 1])],
-                ["cid", "from_lo", "from_hi", "lo", "hi", "whole", "d1", "d2"])
+                ["cid", "from_lo", "from_hi", "lo", "hi", "whole", "open", "d1", "d2"])
 
     return contexts.join(lists, "cid").select("cid", "at", "fp", "ctx", "ranges").mapInArrow(
-        run, "cid long, from_lo int, from_hi int, lo int, hi int, whole boolean, d1 long, d2 long")
+        run, "cid long, from_lo int, from_hi int, lo int, hi int, whole boolean, open boolean, d1 long, d2 long")
 
 
 def _settled(ranges: DataFrame, contexts: DataFrame, length: int) -> DataFrame:
     """(cid, lo, hi): ranges of starts all of whose strings are repeated, found by narrowing `ranges`.
     Strings of one anchor and one start are compared by digest, in distributed aggregates; a range is
     settled when its whole string is common, given up when its shared one is not, else cut into parts. The
-    rounds end with single starts: their number grows with the logarithm of a range's length."""
-    settled, ranges = None, stored(ranges, "ranges")
+    rounds end with single starts: their number grows with the logarithm of a range's length.
+
+    A settled range may hold a string that an open one shares with no other. It goes on as a witness, one
+    for each whole string, wherever an open range shares a part with it."""
+    settled, ranges = None, stored(ranges.withColumn("open", F.lit(True)), "ranges")
     while settled is None or not ranges.isEmpty():
         digests = stored(_range_digests(ranges, contexts, length), "range-digests")
         dropped(ranges)
-        common = digests.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        hits = stored(digests.join(common.drop("c"), ["d1", "d2"]).drop("d1", "d2"), "range-hits")
+        common = digests.groupBy("d1", "d2").agg(F.count(F.lit(1)).alias("c"), F.min("cid").alias("first")).where("c > 1")
+        hits = stored(digests.join(common.drop("c"), ["d1", "d2"]), "range-hits")
         dropped(digests)
-        done = hits.where("whole").select("cid", "lo", "hi")
-        settled = done if settled is None else settled.unionByName(done)
-        whole = done.withColumnsRenamed({"lo": "from_lo", "hi": "from_hi"})
-        ranges = stored(hits.where("not whole").join(whole, ["cid", "from_lo", "from_hi"], "left_anti").select(
-            "cid", "lo", "hi"), "ranges")
+        done = hits.where("whole").select("cid", "lo", "hi", "first", "open")
+        found = done.where("open").select("cid", "lo", "hi")
+        settled = found if settled is None else settled.unionByName(found)
+        closed = done.select("cid", F.col("lo").alias("from_lo"), F.col("hi").alias("from_hi"), F.col("first").alias("witness"))
+        parts = hits.where("not whole").join(closed, ["cid", "from_lo", "from_hi"], "left").where(
+            "witness is null or witness = cid").select("cid", "lo", "hi", "d1", "d2", (F.col("open") & F.col("witness").isNull()).alias("open"))
+        wanted = parts.groupBy("d1", "d2").agg(F.max("open").alias("wanted")).where("wanted").select("d1", "d2")
+        ranges = stored(parts.join(wanted, ["d1", "d2"], "left_semi").select("cid", "lo", "hi", "open"), "ranges")
     return settled
 
 
@@ -329,19 +335,21 @@ def repeat_spans(base: DataFrame, length: int = LENGTH, gram: int = GRAM, max_va
     what is covered by repeats. `base` has a unique `rid`."""
     left = length - gram
     anchors = stored(_anchors(base, length, gram), "anchors")
-    often = anchors.groupBy("fp").agg(
-        F.count(F.lit(1)).alias("total"), F.min(F.struct("c1", "c2")).alias("lo"), F.max(F.struct("c1", "c2")).alias("hi")
-    ).where("total > 1").select("fp", (F.col("lo") != F.col("hi")).alias("mixed"))
+    # Written before the join, so that both of its sides are plain exchanges and a hot anchor can be split.
+    often = stored(anchors.groupBy("fp").agg(
+        F.count(F.lit(1)).alias("total"), *[f(c).alias(f"{f.__name__}_{c}") for c in ("c1", "c2") for f in (F.min, F.max)]
+    ).where("total > 1").select("fp", F.expr("min_c1 <> max_c1 or min_c2 <> max_c2").alias("mixed")), "repeated-fps")
     again = stored(anchors.join(often, "fp"), "repeated-anchors")
     dropped(anchors)
+    dropped(often)
     # A context that both ends of its text clip is one place, however many anchors have it: it is no copy of
     # itself, but may hold a repeat.
-    place = F.struct("rid", F.greatest(F.col("pos") - left, F.lit(0)).alias("start"))
+    start = F.greatest(F.col("pos") - left, F.lit(0))
     kinds = stored(again.groupBy("fp", "c1", "c2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(place).alias("one"), F.max(place).alias("other"),
-        F.min(F.struct("rid", "pos")).alias("rep"), F.max("mixed").alias("mixed")).select(
-        "fp", "c1", "c2", "rep", "mixed", (F.col("one") != F.col("other")).alias("copied"),
-        ((F.col("n") > 1) & (F.col("one") == F.col("other"))).alias("within")), "kinds")
+        F.count(F.lit(1)).alias("n"), F.min("rid").alias("rid"), F.max("rid").alias("last"), F.min(start).alias("one"), F.max(start).alias("other"),
+        F.min_by("pos", "rid").alias("pos"), F.max("mixed").alias("mixed")).select(
+        "fp", "c1", "c2", F.struct("rid", "pos").alias("rep"), "mixed", F.expr("rid <> last or one <> other").alias("copied"),
+        F.expr("n > 1 and rid = last and one = other").alias("within")), "kinds")
     copies = again.join(kinds.where("copied").select("fp", "c1", "c2"), ["fp", "c1", "c2"]).select("rid", "pos")
     crowded = kinds.where("mixed").groupBy("fp").agg(F.count(F.lit(1)).alias("v")).where(F.col("v") > max_variants)
     crowd = crowded.select("fp", F.lit(True).alias("crowded"))
