@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,11 +24,13 @@ U64 = np.uint64
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir where it is set.
 
-    Where it is unset (tests on one machine), a temporary folder is chosen once and kept in the
-    session's settings.
+    Where it is unset and all runs in one process (tests), a temporary folder is chosen once and kept in the
+    session's settings. Elsewhere that would be a folder of one machine, which others cannot read.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("strataloom.workdir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="strataloom-")
         spark.conf.set("strataloom.workdir", found)
     return found.rstrip("/")
@@ -44,14 +47,47 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def stored_by(df: DataFrame, key: str, label: str) -> DataFrame:
+    """As `stored`, dealt to buckets by `key`: joins by it shuffle the other side alone, so that texts
+    travel once however many joins fetch them."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"strataloom_{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/llm/{name}"
+    df.repartition(buckets, key).write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(
+        buckets, key).saveAsTable(name)
+    out = spark.table(name)
+    out._strataloom_path, out._strataloom_table = path, name
+    return out
+
+
 def dropped(df: DataFrame) -> None:
-    """Delete a table that `stored` wrote and that nothing reads any more."""
+    """Delete a table that `stored` or `stored_by` wrote and that nothing reads any more."""
     path = getattr(df, "_strataloom_path", None)
     if path:
         spark = df.sparkSession
         jvm = spark._jvm
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        if hasattr(df, "_strataloom_table"):
+            spark.sql(f"DROP TABLE IF EXISTS {df._strataloom_table}")
+
+
+class Hidden:
+    """The caller's columns under names of their places (k0, k1, ...), so that none clashes with what an
+    operator adds, and the way back."""
+
+    def __init__(self, documents: DataFrame):
+        self.names = documents.columns
+        self.columns = [f"k{i}" for i in range(len(self.names))]
+        self.frame = documents.toDF(*self.columns)
+
+    def __getitem__(self, name: str) -> str:
+        return self.columns[self.names.index(name)]
+
+    def restored(self, frame: DataFrame, **changed: Column) -> DataFrame:
+        """The caller's columns of `frame`, by name, but for those `changed`."""
+        return frame.select(*[changed.get(n, F.col(k)).alias(n) for n, k in zip(self.names, self.columns)])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -22,9 +22,11 @@ Near-duplicates by similarity. `near_duplicates` links texts whose sets of five-
 Jaccard similarity of 0.8 or more. There the bits of the fingerprint are laid out by shingle class:
 a shingle belongs to one of c classes by its hash, each class has a 64-bit SimHash of its own, and
 these are the ring's segments. Two sets of n shingles with similarity s differ in at most
-2n(1-s)/(1+s) shingles, so with more classes than that some segment is untouched and equal. Long
-texts use a fixed number of their classes (`max_segments`); candidates are verified by the exact
-similarity of the sets. Keys of more than `max_paired` texts first give stars and pairs of longer chains;
+2n(1-s)/(1+s) shingles, so with more classes than that some segment is untouched and equal; short
+texts with too few filled classes add their least shingles as keys, which is exact too. Texts of 64
+shingles or more use `max_segments` of their classes: a class is untouched with a chance of at least 1/e, so two
+that are exactly 0.8 alike miss all 24 with one of at most 2.2e-5, and the more alike the less. Candidates
+are verified by the exact similarity of the sets. Keys of more than `max_paired` texts first give stars and pairs of longer chains;
 where these leave such a key's members in several groups, all members of different groups are compared
 by parity sketches, block by block, and what the sketches allow is verified (`_crowded_links`).
 
@@ -43,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import components, dropped, steps, stored, text_bytes
+from strataloom.llm.common import Hidden, components, dropped, mix64, steps, stored, stored_by, text_bytes
 from strataloom.llm.words import LOWER, UNBLANK, word_bounds
 
 SEED = 42
@@ -241,24 +243,30 @@ def class_count(scale: int, similarity: float) -> int:
 
 def segment_keys(hashes: np.ndarray, similarity: float = SIMILARITY, most: int = MAX_SEGMENTS) -> np.ndarray:
     """Keys of one text's segments: for each scale that the text shares with sets of similar size, the
-    SimHash of each class of its distinct shingles, tagged with scale and class."""
-    from strataloom.llm.common import mix64
+    SimHash of each class of its distinct shingles (sorted `hashes`), tagged with scale and class.
 
+    A set that is alike differs in n / similarity - n shingles at most. If more classes than that hold a
+    shingle, one of them is untouched, and its key equal. A short text may have fewer; if so, it also gets
+    its least shingles, of which two sets so alike share one. A pair misses every class only if this is so for both."""
     n = len(hashes)
     if not n:
         return np.zeros(0, np.uint64)
     scale = n.bit_length() - 1
     scales = [scale] + ([scale - 1] if scale and n * similarity < 2**scale else [])
-    out = []
+    out, few = [], False
     for s in scales:
         classes = class_count(s, similarity)
         own = mix64(hashes ^ np.uint64(s + 1)) % np.uint64(classes)
         keep = own < most
         order = np.argsort(own[keep], kind="stable")
         kind, counts = np.unique(own[keep], return_counts=True)
+        few |= classes <= most and len(kind) <= n / similarity - n + 1e-9
         prints = bit_majorities(hashes[keep][order], counts)
         with np.errstate(over="ignore"):
             out.append(mix64(prints + mix64(np.uint64(s * 64 + 1) * np.uint64(0x9E3779B97F4A7C15) + kind)))
+    if few:
+        least = int(n - np.ceil(similarity * n - 1e-9) + 1)
+        out.append(mix64(hashes[:least] ^ np.uint64(0x5851F42D4C957F2D)))
     return np.concatenate(out)
 
 
@@ -282,6 +290,16 @@ def _signatures(base: DataFrame, words: int, similarity: float, most: int) -> Da
     return base.select("rid", "text").mapInArrow(run, "rid long, n long, keys array<long>")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid")))
+
+
+def _texts_of(base: DataFrame, rows: DataFrame) -> DataFrame:
+    """The rows of `base` that `rows` names. Only numbers are hashed; texts are neither sorted nor, where
+    `base` lies in buckets, moved."""
+    return base.join(rows.select("rid").distinct().hint("shuffle_hash"), "rid", "left_semi")
+
+
 def _shingle_sets(base: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
@@ -423,7 +441,7 @@ def _crowded_links(base: DataFrame, members: DataFrame, links: DataFrame, words:
         if placed.isEmpty():
             return links
         if sketches is None:
-            sketches = stored(_sketches(base.join(placed.select("rid").distinct(), "rid"), words), "near-sketches")
+            sketches = stored(_sketches(_texts_of(base, placed), words), "near-sketches")
         known = sketches.withColumn("refused", F.lit(None).cast("array<long>")) if refused is None else sketches.join(
             refused.select(F.col("u").alias("rid"), "v").unionByName(refused.select(F.col("v").alias("rid"), F.col("u").alias("v")))
             .groupBy("rid").agg(F.collect_set("v").alias("refused")), "rid", "left")
@@ -434,8 +452,7 @@ def _crowded_links(base: DataFrame, members: DataFrame, links: DataFrame, words:
         found = dealt.join(known, "rid").groupBy("key", "i", "j").applyInPandas(
             _forest_task(similarity, count), "u long, v long")
         pairs = stored(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-allowed")
-        concerned = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
-        sets = stored(_shingle_sets(base.join(concerned, "rid"), words), "near-sets")
+        sets = stored(_shingle_sets(_texts_of(base, _ends(pairs)), words), "near-sets")
         alike = stored(_verified(pairs, sets, similarity), "near-alike")
         links = links.unionByName(alike)
         failed = stored(pairs.join(alike, ["u", "v"], "left_anti"), "near-refused")
@@ -467,8 +484,7 @@ def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILAR
     crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max_paired).select("key")
     members = stored(keyed.select("key", "rid").join(crowded, "key"), "near-members")
     dropped(signatures)
-    concerned = pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid"))).distinct()
-    sets = stored(_shingle_sets(base.select("rid", "text").join(concerned, "rid"), words), "near-sets")
+    sets = stored(_shingle_sets(_texts_of(base, _ends(pairs)), words), "near-sets")
     links = stored(_verified(pairs, sets, similarity).unionByName(copies.where("u <> v")), "near-links")
     for done in (slim, pairs, sets):
         dropped(done)
@@ -478,13 +494,13 @@ def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILAR
 
 
 def without_near_duplicates(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY, **options) -> DataFrame:
-    """One document of each group of near-duplicates (the first row), and all documents of no group, with
-    all their columns."""
-    columns = documents.columns
-    base = stored(documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)],
-                                   F.col("text").alias("text"), F.monotonically_increasing_id().alias("rid"))
-                  .drop(f"k{columns.index('text')}"), "near-base")
-    groups = near_duplicates(base.select("rid", "text"), words, similarity, **options)
-    gone = groups.where("rid <> root").select("rid")
-    kept = base.join(gone, "rid", "left_anti")
-    return kept.select(*[F.col("text" if c == "text" else f"k{i}").alias(c) for i, c in enumerate(columns)])
+    """One document of each group of near-duplicates (the least doc_id; null ids last, then the first row),
+    and all documents of no group, with all their columns."""
+    hidden = Hidden(documents)
+    base = stored_by(hidden.frame.withColumn("rid", F.monotonically_increasing_id()), "rid", "near-base")
+    groups = near_duplicates(base.select("rid", F.col(hidden["text"]).alias("text")), words, similarity, **options)
+    name = F.col(hidden["doc_id"]) if "doc_id" in hidden.names else F.col("rid")
+    named = base.select("rid", name.alias("name")).join(groups, "rid")
+    stays = named.groupBy("root").agg(F.min(F.struct(F.col("name").isNull().alias("unnamed"), "name", "rid")).alias("s"))
+    gone = stored(named.join(stays, "root").where(F.col("rid") != F.col("s.rid")).select("rid"), "near-gone")
+    return hidden.restored(base.join(gone.hint("shuffle_hash"), "rid", "left_anti"))
