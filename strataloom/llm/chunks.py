@@ -5,8 +5,9 @@ of its own, so the 16-bit hash depends on the last 16 bytes alone. A chunk ends
 are zero (after `least` bytes at least, `most` at most). An insertion moves boundaries only until the
 next content-defined one; the chunks after it are the same again. Chunks are filed under a 128-bit
 BLAKE2b digest. The first occurrence of a digest - least row, then least place - stays. Later
-occurrences are repeats; runs of neighbouring repeats of at least `run_bytes` bytes are removed,
-shorter ones stay, so a common phrase or line is no reason to cut a text.
+occurrences are repeats; runs of neighbouring repeats of at least `run_bytes` bytes are removed, and a
+text all of whose chunks are repeats is removed whole. Shorter runs stay, so a common phrase or line is no
+reason to cut a text; a passage's first and last chunk, which it shares in part only, stay too.
 
 Digests are counted by an aggregate with map-side combine, and joined back by digest, so one digest with
 a third of all chunks is neither one task's work nor pairs.
@@ -26,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import byte_codes, steps, stored, text_bytes
+from strataloom.llm.common import Hidden, byte_codes, dropped, steps, stored, stored_by, text_bytes
 
 LEAST, BITS, MOST = 16, 5, 160
-RUN_BYTES = 128
+RUN_BYTES = 80
 #: Keys over which rows with repeats of their own are spread.
 MARKERS = 64
 
@@ -123,7 +124,9 @@ def _distinct_chunks(base: DataFrame, least: int, bits: int, most: int, markers:
 
 
 def _runs(ends: np.ndarray, repeated: np.ndarray, run_bytes: int) -> list[tuple[int, int]]:
-    """Byte spans of neighbouring repeated chunks that make up at least `run_bytes`."""
+    """Byte spans of neighbouring repeated chunks that make up at least `run_bytes`, or the whole text."""
+    if len(ends) and repeated.all():
+        return [(0, int(ends[-1]))]
     begins = np.concatenate([[0], ends[:-1]])
     edge = np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]]))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - 1
@@ -141,6 +144,7 @@ def _cut_documents(base: DataFrame, run_bytes: int, least: int, bits: int, most:
     later = _distinct_chunks(base, least, bits, most, True).join(firsts, ["d1", "d2"]).where("rid <> first")
     # Within a row the upper half of a digest is enough to tell which of its own chunks is meant.
     marks = stored(later.groupBy("rid").agg(F.collect_list("d1").alias("marks")), "repeats")
+    dropped(firsts)
 
     def run(batches):
         for batch in batches:
@@ -167,31 +171,34 @@ def _cut_documents(base: DataFrame, run_bytes: int, least: int, bits: int, most:
         run, "rid long, removed long, spans long, kept string").where("removed > 0")
 
 
-def deduplicated(documents: DataFrame, run_bytes: int = RUN_BYTES, least: int = LEAST, bits: int = BITS,
-                 most: int = MOST) -> DataFrame:
-    """All rows and columns of `documents`, with repeats cut from `text`, and n_bytes, n_removed and
-    n_spans beside them (named __n_bytes, __n_removed, __n_spans so that they clash with nothing)."""
-    columns = documents.columns
-    base = stored(documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(columns)],
-                                   F.col("text").alias("text"), F.monotonically_increasing_id().alias("rid"))
-                  .drop(f"k{columns.index('text')}"), "chunks-base")
-    cut = _cut_documents(base.where("text is not null"), run_bytes, least, bits, most)
+def chunk_cuts(documents: DataFrame, run_bytes: int = RUN_BYTES, least: int = LEAST, bits: int = BITS,
+               most: int = MOST) -> tuple[Hidden, DataFrame]:
+    """The caller's columns (hidden, by place) of every row with `text`, what is left of it, and n_bytes, n_removed
+    and n_spans."""
+    hidden = Hidden(documents)
+    own = F.col(hidden["text"])
+    base = stored_by(hidden.frame.withColumn("rid", F.monotonically_increasing_id()), "rid", "chunks-base")
+    cut = _cut_documents(base.where(own.isNotNull()).select("rid", own.alias("text")), run_bytes, least, bits, most)
     joined = base.join(cut, "rid", "left")
-    text = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.col("kept"))
-    return joined.select(
-        *[(text if c == "text" else F.col(f"k{i}")).alias(c) for i, c in enumerate(columns)],
-        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("__n_bytes"),
-        F.coalesce("removed", F.lit(0)).cast("long").alias("__n_removed"),
-        F.coalesce("spans", F.lit(0)).cast("long").alias("__n_spans"))
+    return hidden, joined.select(
+        *hidden.columns, F.when(F.col("removed").isNull(), own).otherwise(F.col("kept")).alias("text"),
+        F.coalesce(F.octet_length(own), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce("removed", F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("spans", F.lit(0)).cast("long").alias("n_spans"))
+
+
+def deduplicated(documents: DataFrame, **options) -> DataFrame:
+    """All rows and columns of `documents`, with repeats cut from `text`."""
+    hidden, cut = chunk_cuts(documents, **options)
+    return hidden.restored(cut, text=F.col("text"))
 
 
 def op5_query(spark, sf_dir):
     """doc_id, n_bytes, n_removed, n_spans, kept_bytes, kept_sha256 and the text that is left."""
     from strataloom.llm.common import read_table
 
-    out = deduplicated(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    hidden, out = chunk_cuts(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select(
-        "doc_id", F.col("__n_bytes").alias("n_bytes"), F.col("__n_removed").alias("n_removed"),
-        F.col("__n_spans").alias("n_spans"), (F.col("__n_bytes") - F.col("__n_removed")).alias("kept_bytes"),
+        F.col(hidden["doc_id"]).alias("doc_id"), "n_bytes", "n_removed", "n_spans", (F.col("n_bytes") - F.col("n_removed")).alias("kept_bytes"),
         F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"),
         F.coalesce("text", F.lit("")).alias("kept_text"))
