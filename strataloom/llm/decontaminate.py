@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import stored, steps, text_bytes
+from strataloom.llm.common import Hidden, stored, steps, text_bytes
 from strataloom.llm.words import LOWER, WORDY, window_hashes, word_bounds, word_hashes
 
 WINDOW = 13
@@ -114,16 +114,17 @@ def _blocks(benchmark: DataFrame, max_bytes: int) -> list[DataFrame]:
 
 
 def hits(documents: DataFrame, benchmark: DataFrame, keep: list[str], n: int = WINDOW,
-         max_broadcast_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+         max_broadcast_bytes: int = MAX_BROADCAST_BYTES, text: str = "text") -> DataFrame:
     """Every document row with n_words, `runs` (array of struct<a,b>: hit words [a, b)) with their
-    byte places `spans`, and `items` (sorted ids that occur). `keep` names the columns to carry."""
+    byte places `spans`, and `items` (sorted ids that occur). `keep` names the columns to carry, which must
+    differ from these four; `decontaminated` hides the caller's."""
     blocks = _blocks(benchmark, max_broadcast_bytes)
     schema = "n_words long, runs array<struct<a:long,b:long>>, spans array<struct<a:long,b:long>>, items array<string>"
     if len(blocks) > 1:
         rows = documents.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)],
-                                F.col("text").alias("text"), F.monotonically_increasing_id().alias("rid"))
+                                F.col(text).alias("text"), F.monotonically_increasing_id().alias("rid"))
         base = stored(rows, "decontaminate")
-        found = [_scan(base, ["rid"], b, n, schema) for b in blocks]
+        found = [_scan(base, ["rid"], b, n, schema, "text") for b in blocks]
         every = found[0]
         for more in found[1:]:
             every = every.unionByName(more)
@@ -135,7 +136,7 @@ def hits(documents: DataFrame, benchmark: DataFrame, keep: list[str], n: int = W
         out = out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_words",
                          _merged("runs").alias("runs"), _merged("spans").alias("spans"), "items")
         return out
-    return _scan(documents, keep, blocks[0], n, schema)
+    return _scan(documents, keep, blocks[0], n, schema, text)
 
 
 def _merged(column: str):
@@ -148,16 +149,18 @@ def _merged(column: str):
              concat(out, array(x))))""")
 
 
-def _scan(documents: DataFrame, keep: list[str], items: DataFrame, n: int, schema: str) -> DataFrame:
+def _scan(documents: DataFrame, keep: list[str], items: DataFrame, n: int, schema: str, text: str) -> DataFrame:
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast([tuple(r) for r in items.collect()])
-    kept = documents.select(*[F.col(c).alias(c) for c in keep], F.col("text").alias("__text"))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    # The text goes to the workers once, whether or not it is kept.
+    sent = documents.select(*keep, *([] if text in keep else [text]))
+    at = sent.columns.index(text)
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sent.schema.fields[: len(keep)])
 
     def run(batches):
         grams = NgramSet(shared.value, n)
         for batch in batches:
-            data, offsets = text_bytes(batch.column(batch.num_columns - 1))
+            data, offsets = text_bytes(batch.column(at))
             counts, runs, spans, items_of = [], [], [], []
             for a, b in steps(offsets):
                 base = offsets[a]
@@ -171,12 +174,12 @@ def _scan(documents: DataFrame, keep: list[str], items: DataFrame, n: int, schem
                     spans.append([{"a": int(starts[w + x]) - zero, "b": int(ends[w + y - 1]) - zero} for x, y in own])
                     items_of.append(sorted(i for i in items.get(r, ()) if i is not None))
             pair = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
+            columns = [batch.column(i) for i in range(len(keep))]
             columns += [pa.array(np.concatenate(counts) if counts else np.zeros(0, np.int64), pa.int64()),
                         pa.array(runs, pair), pa.array(spans, pair), pa.array(items_of, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "n_words", "runs", "spans", "items"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "n_words", "runs", "spans", "items"])
 
-    return kept.mapInArrow(run, f"{types}, {schema}" if types else schema)
+    return sent.mapInArrow(run, f"{types}, {schema}" if types else schema)
 
 
 _N_HIT = "aggregate(runs, 0L, (n, x) -> n + x.b - x.a)"
@@ -197,20 +200,20 @@ def decontaminated(documents: DataFrame, benchmark: DataFrame, n: int = WINDOW,
                    mode: str = "documents", **options) -> DataFrame:
     """Documents without benchmark passages. mode 'documents' drops each contaminated row; 'spans'
     keeps every row and cuts the hit spans out of its text. All columns are kept."""
-    columns = documents.columns
-    found = hits(documents, benchmark, columns, n, **options).withColumn("__hit", F.expr(_N_HIT))
+    hidden = Hidden(documents)
+    text = hidden["text"]
+    found = hits(hidden.frame, benchmark, hidden.columns, n, text=text, **options).withColumn("n_hit", F.expr(_N_HIT))
     if mode == "documents":
-        bad = (F.col("__hit") > 0) & (F.lit(share) * F.col("__hit") >= F.col("n_words"))
-        return found.where(~bad).select(*columns)
+        bad = (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words"))
+        return hidden.restored(found.where(~bad))
     if mode != "spans":
         raise ValueError("mode is 'documents' or 'spans'")
-    raw = "encode(text, 'UTF-8')"
+    raw = f"encode({text}, 'UTF-8')"
     rest = F.expr(f"""decode(aggregate(spans, named_struct('at', 1, 'out', cast('' as binary)),
         (s, x) -> named_struct('at', cast(x.b + 1 as int),
                                'out', concat(s.out, substring({raw}, s.at, cast(x.a + 1 - s.at as int)))),
         s -> concat(s.out, substring({raw}, s.at))), 'UTF-8')""")
-    text = F.when(F.size("spans") == 0, F.col("text")).otherwise(rest)
-    return found.select(*[text.alias(c) if c == "text" else F.col(c) for c in columns])
+    return hidden.restored(found, text=F.when(F.size("spans") == 0, F.col(text)).otherwise(rest))
 
 
 def op10_query(spark, sf_dir):

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import stored
+from strataloom.llm.common import Hidden, dropped, stored
 from strataloom.llm.labelled import fold, labelled_sample, logistic, probability
 
 SAMPLE_ROWS = 12_000
@@ -262,6 +262,7 @@ def fitted(documents: DataFrame, labels: DataFrame, modulus: int = 4, held_out:
     rows_ = _features(sample, "text", ["y"], entries, exact).collect()
     x = np.array([r.f for r in rows_]).reshape(-1, FEATURES)
     y = np.array([r.y for r in rows_], float)
+    dropped(sample)
     return entries, exact, logistic(x, y)
 
 
@@ -280,12 +281,12 @@ def _features(df: DataFrame, text: str, keep: list[str], entries: dict, exact: f
     return kept.mapInArrow(run, f"{types}, f array<double>")
 
 
-def scored(documents: DataFrame, model: tuple, keep: list[str]) -> DataFrame:
-    """The columns `keep` and `score` (0 to 1) for every row."""
+def scored(documents: DataFrame, model: tuple, keep: list[str], text: str = "text") -> DataFrame:
+    """The columns `keep` and `__score` (0 to 1) for every row."""
     entries, exact, fit = model
     # The text goes to the workers once, whether or not it is kept.
-    kept = documents.select(*keep, *([] if "text" in keep else ["text"]))
-    at = kept.columns.index("text")
+    kept = documents.select(*keep, *([] if text in keep else [text]))
+    at = kept.columns.index(text)
     out = [f for f in kept.schema.fields if f.name in keep]
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out)
 
@@ -301,8 +302,8 @@ def scored(documents: DataFrame, model: tuple, keep: list[str]) -> DataFrame:
 
 def without_toxic(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """Documents scored under `threshold`, with all their columns."""
-    model = fitted(documents, labels)
-    return scored(documents, model, documents.columns).where(F.col("__score") < threshold).drop("__score")
+    model, hidden = fitted(documents, labels), Hidden(documents)
+    return hidden.restored(scored(hidden.frame, model, hidden.columns, hidden["text"]).where(F.col("__score") < threshold))
 
 
 def op1_query(spark, sf_dir):
