@@ -7,8 +7,8 @@ between the languages of neighbouring words join them to a chain; forward-backwa
 probability of each language, so switches within a text are labelled where they happen. The text's
 language is the one with the largest sum of probabilities, its score that sum's share.
 
-Training uses a bounded sample of texts (`SAMPLE_ROWS`, by a hash of the id), from each a few windows of
-words drawn by a seed of the text's own. A window carries its text's language; windows of different texts
+Training uses a bounded sample of texts (`SAMPLE_ROWS`, by a hash of the id), each whole, cut into windows
+of `WINDOW` words. A window carries its text's language; windows of different texts
 are put together to sequences, so that transitions are learned from both staying and switching. The
 conditional likelihood is maximised by AdaGrad in minibatches.
 
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.labelled import fold, text_sample
 
-SAMPLE_ROWS = 4_000
-WINDOWS, WINDOW = 4, 48
+SAMPLE_ROWS = 1_600
+WINDOW = 48
 TABLE_BITS = 17
 EPOCHS = 4
 BATCH = 128
@@ -44,14 +44,19 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    """Runs of letters (categories L*). The pattern also takes numbers that are no digits, such as ½ or Ⅷ; words
+    with such signs are parted at them."""
+    found = _WORD.findall(text.lower()) if text else []
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split(" ") if part]
 
 
 def feature_ids(word: str) -> list[int]:
     """Hashed features of a word."""
     marked = f"<{word}>"
     names = [f"p{word[:n]}" for n in (1, 2, 3)] + [f"s{word[-n:]}" for n in (1, 2, 3)] + [f"w{word}"]
-    names += [marked[i : i + n] for n in (2, 3) for i in range(min(len(marked), 40) - n + 1)]
+    names += [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
     mask = (1 << TABLE_BITS) - 1
     return [zlib.crc32(name.encode()) & mask for name in names]
 
@@ -121,7 +126,7 @@ def posteriors(scores: np.ndarray, lengths: np.ndarray, start: np.ndarray, trans
 
 
 def _sample(documents: DataFrame, modulus: int, held_out: int, rows: int) -> list[tuple[str, list[str]]]:
-    """(language, window of words) from a bounded sample of labelled texts."""
+    """(language, window of words) of a bounded sample of labelled texts."""
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(modulus) != held_out))
     chosen = text_sample(usable, rows, "lang")
 
@@ -130,9 +135,7 @@ def _sample(documents: DataFrame, modulus: int, held_out: int, rows: int) -> lis
             langs, windows = [], []
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
-                draw = np.random.default_rng(zlib.crc32(text.encode()))
-                for _ in range(min(WINDOWS, -(-len(words) // WINDOW))):
-                    a = int(draw.integers(0, max(1, len(words) - WINDOW + 1)))
+                for a in range(0, len(words), WINDOW):
                     langs.append(lang)
                     windows.append(words[a : a + WINDOW])
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(windows, pa.list_(pa.string()))],
