@@ -95,6 +95,10 @@ def test_languages(spark):
     held = [r for r in out if r.held and r.doc_id < 900]
     assert held and np.mean([r["__lang"] == r.lang for r in held]) > 0.97
     assert {r["__lang"] for r in out if r.doc_id >= 900} == {"und"} and all(0 <= r["__score"] <= 1 for r in out)
+    odd = ["½ ² Ⅷ", "12 ٣ ①", "\u0301 _ 日本", "é", "½a"]
+    got = langid.identified(spark.createDataFrame(list(enumerate(odd)), SCHEMA), chain, ["doc_id"]).collect()
+    assert [r["__lang"] == "und" for r in sorted(got)] == [True, True, False, False, False]
+    assert langid.words_of("x²y Ⅷth _a_ 日本") == ["x", "y", "th", "a", "日本"]
     mixed = spark.createDataFrame([(1, " ".join([word("aa") for _ in range(15)] + [word("cc") for _ in range(15)]))], SCHEMA)
     spans = langid.word_languages(mixed, chain).first().spans
     assert [s.lang for s in spans] == ["aa", "cc"] and abs(spans[0].words - 15) <= 2
@@ -118,6 +122,50 @@ def test_posteriors_are_exact():
         at += n
 
 
+CLASHES = ["n_words", "runs", "spans", "items", "n_hit", "__hit", "__n_bytes", "n_bytes", "n_removed", "kept", "removed", "rid", "root", "name",
+           "digest", "k0", "k1", "text0", "__score", "__text", "f", "y", "score", "open", "marks", "term", "fp", "keys", "s", "part", "length"]
+
+
+def test_stages_with_clashing_columns_and_odd_rows(spark, tmp_path, corpus):
+    import corpus_pipeline
+
+    docs, labels = corpus
+    long = "word " * 40_000
+    odd = spark.createDataFrame([(2000, long), (2001, long), (2002, None), (None, None), (2003, ""), (2003, ""), (2004, "x" * 200_000)], SCHEMA)
+    wide = docs.unionByName(odd).select("doc_id", *[F.lit(i).alias(c) for i, c in enumerate(CLASHES)], "text")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "bant dord " * 9), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for frame in (wide, wide.limit(0)):
+            after = stage(spark, frame, str(tmp_path))
+            assert after.columns == wide.columns, name
+            rows = after.collect()
+            assert all(r[c] == i for r in rows for i, c in enumerate(CLASHES)), name
+    assert corpus_pipeline.STAGES[-1][1](spark, wide, str(tmp_path)).count() >= wide.count()
+
+
+def test_operators_on_empty_tables_and_long_texts(spark, tmp_path, corpus):
+    from strataloom.llm import queries
+
+    docs, labels = corpus
+    wide = docs.select("doc_id", "text", F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("long").alias("n_chars"))
+    long = [(3000, "lorem ipsum dolor " * 30_000), (3001, "é" * 100_000), (3002, " \n" * 50_000), (3000, None), (None, "lorem")]
+    some = spark.createDataFrame(long, SCHEMA).select("doc_id", "text", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"),
+                                                      F.lit(None).cast("long").alias("n_chars"))
+    for kind, frame in (("empty", wide.limit(0)), ("long", wide.limit(80).unionByName(some))):
+        folder = f"{tmp_path}/{kind}"
+        frame.write.parquet(f"{folder}/documents.parquet")
+        (labels.limit(0) if kind == "empty" else labels).write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([(1, "lorem ipsum dolor " * 8)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        n = frame.count()
+        for name, query in queries.QUERIES.items():
+            rows = query(spark, folder).collect()
+            if name.startswith("op6"):
+                assert len(rows) >= n and len({(r.doc_id, r.piece) for r in rows}) <= len(rows)
+            else:
+                assert len(rows) == n, name
+
+
 def test_pipeline_stages(spark, tmp_path, corpus):
     import corpus_pipeline
 
