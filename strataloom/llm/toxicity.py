@@ -12,9 +12,10 @@ first letter that leaves no state. An entry whose misspellings turn up in clean
 (over `MAX_MISTAKEN` of its own toxic ones) allows no edit.
 
 Context. A hit's weight is halved for each edit. Words within `WINDOW` places of it tell quotation from
-abuse: the hit lies between quotation marks, a verb or noun of reporting is near, a person is addressed,
-other hits are near. The sums of weights by context, their density and the number of hits feed a logistic
-regression fitted on the sample.
+abuse: the hit lies between quotation marks, a quoting word is near (one that in the sample stands near hits
+of clean texts rather than toxic ones: reporting, citing), an abusing word is near (the other way round:
+address), other hits are near. The sums of weights by context, their density and the number of hits feed
+a logistic regression fitted on the sample.
 
 Defined results: a null or empty text, or one without words, has no hit and gets the score of that; very
 long texts are scanned whole; repeated rows get equal scores; with no labelled rows the lexicon is empty
@@ -36,7 +37,8 @@ from strataloom.llm.common import Hidden, dropped, stored
 from strataloom.llm.labelled import fold, labelled_sample, logistic, probability
 
 SAMPLE_ROWS = 12_000
-MIN_TOXIC = 6
+MIN_TOXIC = 4
+MIN_NEAR = 6
 MAX_CLEAN_SHARE = 0.04
 MAX_ENTRIES = 2_000
 MAX_MISTAKEN = 0.02
@@ -48,11 +50,8 @@ _STEMS = range(4, 8)
 _TOKEN = re.compile(r"\w+|[\"“”«»„]")
 _QUOTES = frozenset("\"“”«»„")
 
-#: Words of reporting, and of addressing a person, in the corpus's four languages.
-REPORTING = frozenset("""said says wrote writes called quote quoted quotes term word phrase reported citation
-    dit disait écrit cité mot terme sagte sagt schrieb zitat zitiert wort begriff
-    dijo dice escribió cita citó palabra término""".split())
-ADDRESS = frozenset("you your youre u tu te toi vous votre du dich dir dein ihr euch tú ti vosotros usted".split())
+#: Log-odds from which a word near hits tells quotation from abuse.
+TELLING = 1.5
 
 
 def allowed_edits(n: int) -> int:
@@ -154,8 +153,11 @@ _NO_MATCH = (0.0, "", 0)
 FEATURES = 8
 
 
-def features(text: str, automaton: LexiconAutomaton, known: dict[str, float]) -> np.ndarray:
-    """Sums of hit weights by context. `known` remembers the weights of words."""
+Context = tuple[frozenset[str], frozenset[str]]
+
+
+def found_hits(text: str, automaton: LexiconAutomaton, known: dict[str, float]) -> tuple[list[str], list[tuple[int, float]]]:
+    """Tokens, and (place, weight) of the hits. `known` remembers the weights of words."""
     tokens = _TOKEN.findall(text.lower())
     hits = []
     for i, token in enumerate(tokens):
@@ -166,6 +168,13 @@ def features(text: str, automaton: LexiconAutomaton, known: dict[str, float]) ->
             weight = known[token] = automaton.match(token)
         if weight:
             hits.append((i, weight))
+    return tokens, hits
+
+
+def features(text: str, automaton: LexiconAutomaton, known: dict[str, float], context: Context) -> np.ndarray:
+    """Sums of hit weights by context (quoting words, abusing words)."""
+    quoting, abusing = context
+    tokens, hits = found_hits(text, automaton, known)
     out = np.zeros(FEATURES)
     if not hits:
         return out
@@ -175,14 +184,14 @@ def features(text: str, automaton: LexiconAutomaton, known: dict[str, float]) ->
     for k, (i, weight) in enumerate(hits):
         near = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
         opened = int(np.searchsorted(marks, i)) % 2 == 1 and int(np.searchsorted(marks, i)) < len(marks)
-        said = any(t in REPORTING for t in near)
+        said = any(t in quoting for t in near)
         if opened:
             quoted += weight
         elif said:
             reported += weight
         else:
             plain += weight
-        if any(t in ADDRESS for t in near):
+        if any(t in abusing for t in near):
             addressed += weight
         if k and i - places[k - 1] <= WINDOW:
             crowded += weight
@@ -255,25 +264,51 @@ def _mistaken(sample: DataFrame, entries: dict[str, float]) -> dict[str, int]:
     return dict(sample.mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n")).collect())
 
 
+def learn_context(sample: DataFrame, entries: dict[str, float], exact: frozenset[str]) -> Context:
+    """Quoting and abusing words: those near hits in many texts of one label, and hardly of the other."""
+
+    def run(batches):
+        automaton, known = LexiconAutomaton(entries, exact), {}
+        for batch in batches:
+            counts: Counter = Counter()
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                tokens, hits = found_hits(text or "", automaton, known)
+                near = {t for i, _ in hits for t in tokens[max(0, i - WINDOW) : i + WINDOW + 1] if t not in _QUOTES and not known.get(t)}
+                counts.update((t, y) for t in near)
+                counts[("", y)] += bool(hits)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([t for t, _ in counts], pa.string()), pa.array([y for _, y in counts], pa.int64()),
+                 pa.array(list(counts.values()), pa.int64())], ["term", "y", "n"])
+
+    found = sample.mapInArrow(run, "term string, y long, n long").groupBy("term").agg(
+        F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("clean"),
+        F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("toxic")).where(
+        (F.greatest("clean", "toxic") >= MIN_NEAR) | (F.col("term") == "")).collect()
+    clean, toxic = next(((r.clean, r.toxic) for r in found if not r.term), (0, 0))
+    odds = {r.term: float(np.log((r.toxic + 0.5) / (toxic + 1)) - np.log((r.clean + 0.5) / (clean + 1))) for r in found if r.term}
+    return frozenset(t for t, o in odds.items() if o < -TELLING), frozenset(t for t, o in odds.items() if o > TELLING)
+
+
 def fitted(documents: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int = 2, rows: int = SAMPLE_ROWS) -> tuple:
-    """(entries, those that allow no edit, model) learned outside the held-out fold."""
+    """(entries, those that allow no edit, context words, model) learned outside the held-out fold."""
     sample = stored(labelled_sample(documents, labels, "toxic", modulus, held_out, rows), "toxic-sample")
     entries, exact = learn_lexicon(sample)
-    rows_ = _features(sample, "text", ["y"], entries, exact).collect()
+    context = learn_context(sample, entries, exact)
+    rows_ = _features(sample, "text", ["y"], entries, exact, context).collect()
     x = np.array([r.f for r in rows_]).reshape(-1, FEATURES)
     y = np.array([r.y for r in rows_], float)
     dropped(sample)
-    return entries, exact, logistic(x, y)
+    return entries, exact, context, logistic(x, y)
 
 
-def _features(df: DataFrame, text: str, keep: list[str], entries: dict, exact: frozenset) -> DataFrame:
+def _features(df: DataFrame, text: str, keep: list[str], entries: dict, exact: frozenset, context: Context) -> DataFrame:
     kept = df.select(*keep, F.col(text).alias("__text"))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
     def run(batches):
         automaton, known = LexiconAutomaton(entries, exact), {}
         for batch in batches:
-            found = [features(t or "", automaton, known) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [features(t or "", automaton, known, context) for t in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(batch.num_columns - 1)], pa.array(found, pa.list_(pa.float64()))],
                 [*batch.schema.names[:-1], "f"])
@@ -283,7 +318,7 @@ def _features(df: DataFrame, text: str, keep: list[str], entries: dict, exact: f
 
 def scored(documents: DataFrame, model: tuple, keep: list[str], text: str = "text") -> DataFrame:
     """The columns `keep` and `__score` (0 to 1) for every row."""
-    entries, exact, fit = model
+    entries, exact, context, fit = model
     # The text goes to the workers once, whether or not it is kept.
     kept = documents.select(*keep, *([] if text in keep else [text]))
     at = kept.columns.index(text)
@@ -293,7 +328,7 @@ def scored(documents: DataFrame, model: tuple, keep: list[str], text: str = "tex
     def run(batches):
         automaton, known = LexiconAutomaton(entries, exact), {}
         for batch in batches:
-            x = np.array([features(t.as_py() or "", automaton, known) for t in batch.column(at)]).reshape(-1, FEATURES)
+            x = np.array([features(t.as_py() or "", automaton, known, context) for t in batch.column(at)]).reshape(-1, FEATURES)
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(i) for i in range(len(out))], pa.array(probability(x, fit))], [*[f.name for f in out], "__score"])
 
