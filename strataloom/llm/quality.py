@@ -6,15 +6,17 @@ looked at. A scorer g minimises the non-negative unbiased risk
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)])
 
 with the logistic loss l: the part in the maximum estimates the risk on negatives from unlabelled text,
-and is kept from going below zero, where it would only fit noise. The class prior is estimated from the
-labelled rows of the training folds (its share of positives, smoothed, kept within 0.05 and 0.95).
+and is kept from going below zero, where it would only fit noise. The class prior is estimated from
+positives and unlabelled texts alone (`class_prior`): a scorer fitted on half of both is cut where, on the
+other half, the share of unlabelled texts above the cut is least in proportion to that of positives, plus a
+margin for the size of the sample. That ratio bounds the prior from above, and is it where only positives score so high.
 
 g is additive: each of the text's measures (character classes, word lengths, repetition of words, word
 pairs and lines) is cut at its quantiles, and each interval has a weight; neighbouring weights are shrunk
 towards each other. Both samples are bounded (`SAMPLE_ROWS` each) and chosen by a hash of the id.
 
 Defined results: null and empty texts have measures of zero and are scored like any; very long texts are
-measured whole; repeated rows get equal scores; without positives every score is the prior; an empty
+measured whole; repeated rows get equal scores; without positives every score is one half; an empty
 table gives no row; other columns are ignored.
 """
 
@@ -32,6 +34,7 @@ from strataloom.llm.words import LOWER, UNBLANK, word_bounds, word_hashes, windo
 SAMPLE_ROWS = 12_000
 BINS = 24
 ROUNDS = 1500
+PRIOR_ROUNDS = 300
 RATE = 0.05
 SMOOTH = 1e-4
 THRESHOLD = 0.5
@@ -125,36 +128,46 @@ def _score(places: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     return weights[places].sum(axis=1) + bias
 
 
-def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[list[np.ndarray], np.ndarray, float]:
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> tuple[float, np.ndarray, bool]:
+    """The non-negative risk at the weights `w` (intercept last) of interval places p and u; the direction of
+    its descent; and whether the part on negatives fell below zero. There the direction is that of raising
+    it again, which keeps the fit from staying in noise."""
+    gp, gu = _score(p, w[:-1], w[-1]), _score(u, w[:-1], w[-1])
+    sp, su = _sigmoid(gp), _sigmoid(gu)
+
+    def slope(places: np.ndarray, factor: np.ndarray) -> np.ndarray:
+        g = np.bincount(places.ravel(), np.repeat(factor, places.shape[1]), minlength=len(w) - 1)
+        return np.append(g, factor.sum())
+
+    # The logistic loss of calling a row negative is log(1 + e^g), with slope sigmoid(g).
+    positive = prior * np.logaddexp(0, -gp).mean()
+    negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
+    on_p, on_n = slope(p, prior * (sp - 1) / len(p)), slope(u, su / len(u)) - slope(p, prior * sp / len(p))
+    clipped = negative < 0
+    return float(positive + max(0.0, negative)), -on_n if clipped else on_p + on_n, bool(clipped)
+
+
+def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, rounds: int = ROUNDS) -> tuple[list[np.ndarray], np.ndarray, float]:
     """Interval edges, their weights and the intercept that minimise the non-negative risk (Adam)."""
-    start = float(np.log(prior / (1 - prior)))
+    start, kinds = float(np.log(prior / (1 - prior))), positive.shape[1]
     if not len(positive) or not len(unlabelled):
-        return [np.zeros(0)] * len(MEASURES), np.zeros(len(MEASURES)), start
+        return [np.zeros(0)] * kinds, np.zeros(kinds), start
     both = np.concatenate([positive, unlabelled])
     grid = np.linspace(0, 1, BINS + 1)[1:-1]
     edges = [np.unique(np.quantile(both[:, j], np.concatenate([[0.005, 0.02], grid, [0.98, 0.995]])))
-             for j in range(both.shape[1])]
+             for j in range(kinds)]
     p, u = _onehot(positive, edges), _onehot(unlabelled, edges)
     size = sum(len(e) + 1 for e in edges)
     breaks = np.cumsum([len(e) + 1 for e in edges])[:-1]
-    w, bias = np.zeros(size + 1), start
+    w = np.zeros(size + 1)
     w[-1] = start
     m, v = np.zeros(size + 1), np.zeros(size + 1)
-
-    def sigmoid(z):
-        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-
-    def slope(places, factor):
-        g = np.bincount(places.ravel(), np.repeat(factor, places.shape[1]), minlength=size)
-        return np.append(g, factor.sum())
-
-    for t in range(1, ROUNDS + 1):
-        gp, gu = _score(p, w[:-1], w[-1]), _score(u, w[:-1], w[-1])
-        sp, su = sigmoid(gp), sigmoid(gu)
-        # Loss of calling a row negative is log(1 + e^g), with slope sigmoid(g).
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        risk_p, risk_n = slope(p, prior * (sp - 1) / len(p)), slope(u, su / len(u)) - slope(p, prior * sp / len(p))
-        grad = risk_p + risk_n if negative >= 0 else -risk_n
+    for t in range(1, rounds + 1):
+        grad = risk(w, p, u, prior)[1]
         bumps = np.diff(w[:-1])
         bumps[breaks - 1] = 0
         grad[:-2] -= SMOOTH * bumps
@@ -165,15 +178,28 @@ def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> tupl
     return edges, w[:-1], float(w[-1])
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, chance: float = 0.1) -> float:
+    """Share of positives among the unlabelled rows, within 0.05 and 0.95; one half without rows."""
+    if len(positive) < 4 or len(unlabelled) < 4:
+        return 0.5
+    halves = [x[np.lexsort(x.T)] for x in (positive, unlabelled)]  # by value: the split depends on no order of rows
+    edges, weights, bias = fit_nnpu(halves[0][::2], halves[1][::2], 0.5, PRIOR_ROUNDS)
+    p, u = (np.sort(_score(_onehot(x[1::2], edges), weights, bias)) for x in halves)
+    cuts = np.unique(p)
+    above_p = 1 - np.searchsorted(p, cuts) / len(p)
+    above_u = 1 - np.searchsorted(u, cuts) / len(u)
+    margin = sum(np.sqrt(np.log(4 / chance) / (2 * len(x))) for x in (p, u))
+    best = int(np.argmin((above_u + margin) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.05, 0.95))
+
+
 def fitted(documents: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int = 1, rows: int = SAMPLE_ROWS) -> tuple:
-    """Model learned outside the held-out fold."""
-    counts = dict(labels.where(F.col("quality").isin(0, 1) & (fold(modulus) != held_out)).groupBy("quality").count().collect())
-    prior = float(np.clip((counts.get(1, 0) + 1) / (sum(counts.values()) + 2), 0.05, 0.95))
+    """Model learned outside the held-out fold, from trusted positives and unlabelled texts."""
     trusted = labelled_sample(documents, labels.where("quality = 1"), "quality", modulus, held_out, rows).select("text")
     web = text_sample(documents.where(fold(modulus) != held_out), rows)
     positive, unlabelled = (np.array([r.f for r in _measured(s).collect()]).reshape(-1, len(MEASURES))
                             for s in (trusted, web))
-    return fit_nnpu(positive, unlabelled, prior)
+    return fit_nnpu(positive, unlabelled, class_prior(positive, unlabelled))
 
 
 def _measured(df: DataFrame) -> DataFrame:
