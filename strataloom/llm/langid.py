@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from strataloom.llm.labelled import fold, text_sample
 
-SAMPLE_ROWS = 1_600
+SAMPLE_ROWS = 1_000
 WINDOW = 48
 TABLE_BITS = 17
 EPOCHS = 4
