@@ -8,9 +8,15 @@ Huffman table gives category c a code of 16 - c bits: a code with its extra bits
 bits, the end-of-block code takes 8, and the scan can be read as arrays. The container is RIFF AVI
 with `hdrl`, `movi` and an `idx1` index.
 
+Reading. Frames of this kind are decoded as arrays, many at once. Any other baseline JPEG - other tables,
+AC coefficients, colour, restart markers - goes through `jpeg.luminance`, and each of its 8 x 8 blocks
+counts with its mean. `video_clips` takes videos as they are.
+
 Defined results: null and empty texts are stored as one frame of blanks; one very long text is one
-long video; repeated rows and equal texts give equal values; an empty table gives no row; a frame or
-index that cannot be parsed raises `ValueError`. Other columns are not read.
+long video; repeated rows and equal texts give equal values; an empty table gives no row. A frame of a
+foreign video that cannot be decoded, or differs in size, stands for the one before it (the first: grey 0) and
+is counted; a file that is no AVI, null or has no frame gives one row with an `error` and no clip. Other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strataloom.llm import jpeg
 from strataloom.llm.common import text_bytes
 
 BLOCKS_WIDE, BLOCKS_HIGH = 16, 12
@@ -209,7 +216,7 @@ class Avi:
 
 
 class _Head:
-    """A parsed JPEG header: size, quantiser and a table from 16 bits to a DC difference."""
+    """A parsed JPEG header of flat blocks: size, quantiser and a table from 16 bits to a DC difference."""
 
     def __init__(self, head: bytes):
         at, tables = 2, {}
@@ -257,6 +264,14 @@ def _scan_start(image: bytes) -> int:
     raise ValueError("a JPEG image without a scan")
 
 
+def _flat_head(head: bytes) -> _Head | None:
+    """None where the header is not that of flat blocks coded by 24 bits each."""
+    try:
+        return _Head(head)
+    except (ValueError, IndexError, struct.error):
+        return None
+
+
 class Decoder:
     """Decodes intra frames; headers that repeat from frame to frame are parsed once."""
 
@@ -265,16 +280,18 @@ class Decoder:
         self.last = b""
 
     def samples(self, images: list[bytes]) -> np.ndarray:
-        """(frames, blocks) 8-bit samples: the grey value of each flat block."""
+        """(frames, blocks) 8-bit samples: the grey value of each flat block, or each block's mean."""
         scans, head = [], None
         for image in images:
             n = len(self.last)
             if not n or image[:n] != self.last:
                 n = _scan_start(image)
                 self.last = image[:n]
-            own = self.heads.get(self.last)
+            if self.last not in self.heads:
+                self.heads[self.last] = _flat_head(self.last)
+            own = self.heads[self.last]
             if own is None:
-                own = self.heads[self.last] = _Head(self.last)
+                return self._others(images)
             if head is not None and (own.wide, own.high) != (head.wide, head.high):
                 raise ValueError("frames of different sizes")
             head = own
@@ -292,6 +309,33 @@ class Decoder:
         return np.clip((level * head.quantiser >> 3) + 128, 0, 255).astype(np.uint8)
 
 
+    def _others(self, images: list[bytes]) -> np.ndarray:
+        frames = [jpeg.block_means(jpeg.luminance(image)) for image in images]
+        if len({len(f) for f in frames}) > 1:
+            raise ValueError("frames of different sizes")
+        return np.array(frames)
+
+    def lenient(self, images: list[bytes]) -> tuple[np.ndarray, int]:
+        """The samples of what can be decoded; frames that cannot stand for the one before. Their number."""
+        try:
+            return self.samples(images), 0
+        except ValueError:
+            pass
+        frames, bad, size = [], 0, 0
+        for image in images:
+            try:
+                own = self.samples([image])[0]
+                size = size or len(own)
+                if len(own) != size:
+                    raise ValueError("frames of different sizes")
+                frames.append(own)
+            except ValueError:
+                frames.append(frames[-1] if frames else None)
+                bad += 1
+        blank = np.zeros(size or 1, np.uint8)
+        return np.array([blank if f is None else f for f in frames]), bad
+
+
 def read_samples(avi: Avi, decoder: Decoder | None = None) -> np.ndarray:
     decoder, out, step = decoder or Decoder(), [], []
     for image in avi.frames():
@@ -358,6 +402,40 @@ def clips(documents: DataFrame) -> DataFrame:
         run, f"doc_id {kind}, clip long, first_frame long, frames long, start_s double, end_s double, mean_grey double")
 
 
+def video_clips(videos: DataFrame, key: str, data: str) -> DataFrame:
+    """Timed clip rows of AVI files in a binary column: the key, clip, first_frame, frames, start_s, end_s,
+    mean_grey, width, height, bad_frames and error."""
+
+    def rows_of(raw: bytes | None, decoder: Decoder) -> list[tuple]:
+        try:
+            avi = Avi(raw or b"")
+            if not len(avi.places):
+                raise ValueError("no video frame")
+            samples, bad = decoder.lenient(list(avi.frames()))
+        except (ValueError, struct.error, IndexError) as e:
+            return [(*[None] * 9, str(e) or "corrupt")]
+        fps = avi.fps if avi.fps > 0 else float(FRAMES_PER_SECOND)
+        starts = shot_starts(samples)
+        return [(c, int(a), int(b - a), float(a / fps), float(b / fps), float(samples[a:b].mean()), avi.width, avi.height, bad, None)
+                for c, (a, b) in enumerate(zip(starts, [*starts[1:], len(samples)]))]
+
+    names = ["clip", "first_frame", "frames", "start_s", "end_s", "mean_grey", "width", "height", "bad_frames", "error"]
+    kinds = [pa.int64()] * 3 + [pa.float64()] * 3 + [pa.int64()] * 3 + [pa.string()]
+
+    def run(batches):
+        decoder = Decoder()
+        for batch in batches:
+            found = [rows_of(raw, decoder) for raw in batch.column(1).to_pylist()]
+            owner = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+            cols = list(zip(*(r for f in found for r in f))) or [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *[pa.array(c, t) for c, t in zip(cols, kinds)]], ["key", *names])
+
+    sent = videos.select(F.col(key).alias("key"), F.col(data).alias("data"))
+    types = ["long"] * 3 + ["double"] * 3 + ["long"] * 3 + ["string"]
+    out = sent.mapInArrow(run, f"key {sent.schema['key'].dataType.simpleString()}, " + ", ".join(f"{n} {t}" for n, t in zip(names, types)))
+    return out.select(F.col("key").alias(key), *names)
+
+
 def media_columns(documents: DataFrame) -> DataFrame:
     """Each text stored as a video and read back: doc_id, n_bytes, payload_bytes, payload_sha256,
     tail_crc32, media_bytes, media_sha256, feature."""
