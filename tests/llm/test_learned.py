@@ -68,8 +68,17 @@ def test_automaton_is_levenshtein():
 
 def test_quotation_counts_apart():
     automaton = toxicity.LexiconAutomaton({"idiot": 4.0})
-    plain, quoted = (toxicity.features(t, automaton, {}) for t in ("you idiot go", 'he wrote "idiot" here'))
+    context = frozenset({"wrote"}), frozenset({"you"})
+    plain, quoted = (toxicity.features(t, automaton, {}, context) for t in ("you idiot go", 'he wrote "idiot" here'))
     assert plain[0] > 0 and plain[3] > 0 and plain[1] == 0 and quoted[1] > 0 and quoted[0] == 0
+    said = toxicity.features("he wrote idiot here", automaton, {}, context)
+    assert said[2] > 0 and said[0] == 0
+
+
+def test_context_words_are_learned(spark):
+    rows = [(f"they noted idiot once {i}", 0) for i in range(10)] + [(f"thou idiot now {i}", 1) for i in range(10)]
+    quoting, abusing = toxicity.learn_context(spark.createDataFrame(rows, "text string, y int"), {"idiot": 4.0}, frozenset())
+    assert quoting == {"they", "noted", "once"} and abusing == {"thou", "now"}
 
 
 def test_quality(spark, corpus):
@@ -84,6 +93,54 @@ def test_quality(spark, corpus):
     assert quality.scored(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_risk_and_its_slope():
+    draw = np.random.default_rng(4)
+    p, u = draw.integers(0, 3, (30, 1)), draw.integers(0, 3, (50, 1))
+
+    def by_hand(w, prior):
+        loss = lambda z: np.log1p(np.exp(-z))
+        g = lambda x: w[x[:, 0]] + w[-1]
+        negative = loss(-g(u)).mean() - prior * loss(-g(p)).mean()
+        return prior * loss(g(p)).mean(), negative
+
+    seen = set()
+    for prior in (0.2, 0.6, 0.9):
+        for _ in range(30):
+            w = draw.normal(size=4) * 3
+            value, slope, clipped = quality.risk(w, p, u, prior)
+            a, b = by_hand(w, prior)
+            assert np.isclose(value, a + max(0, b)) and clipped == (b < 0)
+            seen.add(clipped)
+            for k in range(4):
+                step = np.eye(4)[k] * 1e-6
+                up, down = by_hand(w + step, prior), by_hand(w - step, prior)
+                want = -(up[1] - down[1]) / 2e-6 if clipped else (sum(up) - sum(down)) / 2e-6
+                assert np.isclose(slope[k], want, atol=1e-5)
+    assert seen == {True, False}
+
+
+def test_fit_reaches_the_least_risk():
+    draw = np.random.default_rng(6)
+    x = lambda n, share: (draw.random((n, 1)) < share).astype(float)
+    positive, unlabelled, prior = x(300, 0.9), np.concatenate([x(300, 0.9), x(300, 0.2)]), 0.5
+    edges, weights, bias = quality.fit_nnpu(positive, unlabelled, prior)
+    p, u = quality._onehot(positive, edges), quality._onehot(unlabelled, edges)
+    got = quality.risk(np.append(weights, bias), p, u, prior)[0]
+    grid = np.linspace(-6, 6, 121)
+    least = min(quality.risk(np.append(np.where(np.arange(len(weights)) == p.max(), a, b), 0.0), p, u, prior)[0] for a in grid for b in grid)
+    assert got <= least + 0.01
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_class_prior(share):
+    draw = np.random.default_rng(7)
+    good, bad = draw.normal(0, 1, (4000, 2)), draw.normal(3, 1, (4000, 2))
+    n = int(4000 * share)
+    got = quality.class_prior(draw.normal(0, 1, (2000, 2)), np.concatenate([good[:n], bad[: 4000 - n]]))
+    assert abs(got - share) < 0.07
+    assert quality.class_prior(np.zeros((0, 2)), good) == 0.5
+
+
 def test_languages(spark):
     draw = random.Random(5)
     syllables = {"aa": ["ka", "ko", "ki", "tu"], "bb": ["sch", "ung", "ein", "er"], "cc": ["eau", "oi", "que", "re"]}
