@@ -231,7 +231,7 @@ MAX_PAIRED = 8
 #: Bits of a parity sketch, and those of its first part, which is looked at first.
 SKETCH_BITS, GLANCE_BITS = 4096, 1024
 #: Members of a crowded key that one task compares with as many others.
-BLOCK = 2048
+BLOCK = 4096
 
 
 def class_count(scale: int, similarity: float) -> int:
@@ -424,46 +424,68 @@ def _forest_task(similarity: float, count: int):
     return run
 
 
-def _crowded_links(base: DataFrame, members: DataFrame, links: DataFrame, words: int, similarity: float,
+def _crowded_links(base: DataFrame, placed: DataFrame, links: DataFrame, words: int, similarity: float,
                    block: int = BLOCK) -> DataFrame:
-    """`links` and further ones, so that members (key, rid) of one crowded key that are `similarity` alike
-    are connected. Only keys whose members are not yet connected are looked at. Each round takes
-    spanning forests of the pairs that the sketches allow, and verifies them: if none is refused, all
-    allowed pairs are connected. Refused pairs are not taken again, and the rounds take more forests each."""
-    sketches, refused, count = None, None, 1
+    """`links` and further ones, so that members (key, rid, comp) of one crowded key that are `similarity`
+    alike are connected; `comp` is a member's component by `links`, and every key has members of several. Each round
+    takes spanning forests of the pairs that the sketches allow, and verifies them: if none is refused, all
+    allowed pairs are connected. Else two components that an allowed pair still parts are both touched by a
+    refused pair of the key, so the next round has these alone. Refused pairs are not taken again, and the
+    rounds take more forests each."""
+    if placed.isEmpty():
+        return links
+    # One row for each text, with its keys, joins the components of every round.
+    members = stored(placed.groupBy("rid").agg(F.collect_list("key").alias("keys")), "near-members")
+    sketches, refused, count = stored(_sketches(_texts_of(base, members), words), "near-sketches"), None, 1
     while True:
-        roots = components(links)
-        placed = members.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").select(
-            "key", "rid", F.coalesce("root", "rid").alias("comp"))
-        parted = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where(
-            "x <> y").select("key", F.ceil(F.col("c") / block).cast("int").alias("blocks"))
-        placed = stored(placed.join(parted, "key"), "near-crowded")
-        if placed.isEmpty():
-            return links
-        if sketches is None:
-            sketches = stored(_sketches(_texts_of(base, placed), words), "near-sketches")
         known = sketches.withColumn("refused", F.lit(None).cast("array<long>")) if refused is None else sketches.join(
             refused.select(F.col("u").alias("rid"), "v").unionByName(refused.select(F.col("v").alias("rid"), F.col("u").alias("v")))
             .groupBy("rid").agg(F.collect_set("v").alias("refused")), "rid", "left")
+        blocks = placed.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
         own = F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int").alias("block")
-        dealt = placed.select("key", "rid", "comp", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        dealt = placed.join(blocks, "key").select("key", "rid", "comp", own, F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
             "key", "rid", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-
         found = dealt.join(known, "rid").groupBy("key", "i", "j").applyInPandas(
             _forest_task(similarity, count), "u long, v long")
         pairs = stored(found.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "near-allowed")
+        dropped(placed)
         sets = stored(_shingle_sets(_texts_of(base, _ends(pairs)), words), "near-sets")
         alike = stored(_verified(pairs, sets, similarity), "near-alike")
+        dropped(sets)
         links = links.unionByName(alike)
         failed = stored(pairs.join(alike, ["u", "v"], "left_anti"), "near-refused")
-        for done in (placed, pairs, sets):
-            dropped(done)
-        if failed.isEmpty():
+        dropped(pairs)
+        if not failed.isEmpty():
+            refused = failed if refused is None else refused.unionByName(failed)
+            count *= 4
+            placed = _still_parted(members, _roots(links), failed)
+        if failed.isEmpty() or placed.isEmpty():
             dropped(sketches)
+            dropped(members)
             return links
-        refused = failed if refused is None else refused.unionByName(failed)
-        again = members.join(failed.select(F.col("u").alias("rid")), "rid", "left_semi").select("key").distinct()
-        members, count = stored(members.join(again, "key"), "near-members"), count * 4
+
+
+def _still_parted(members: DataFrame, roots: DataFrame, failed: DataFrame) -> DataFrame:
+    """(key, rid, comp) of the members whose key and component a refused pair touches, of keys with several."""
+    now = stored(members.join(roots, "rid", "left").select("rid", "keys", F.coalesce("root", "rid").alias("comp")), "near-placed")
+    touched = stored(now.join(_ends(failed).distinct(), "rid", "left_semi"), "near-touched")
+    own = now.join(touched.select("comp").distinct(), "comp", "left_semi").select("rid", "comp", F.explode("keys").alias("key"))
+    rows = stored(own.join(touched.select(F.explode("keys").alias("key")).distinct(), "key", "left_semi"), "near-open")
+    out = stored(_in_several(rows, 1), "near-crowded")
+    for done in (now, touched, rows):
+        dropped(done)
+    return out
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("rid"), "root")
+
+
+def _in_several(placed: DataFrame, more_than: int) -> DataFrame:
+    """Rows (key, rid, comp) of the keys of more than `more_than` members that lie in several components."""
+    parted = placed.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.min("comp").alias("x"), F.max("comp").alias("y")).where(
+        (F.col("c") > more_than) & (F.col("x") != F.col("y"))).select("key")
+    return placed.select("key", "rid", "comp").join(parted, "key")
 
 
 def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILARITY, max_segments: int = MAX_SEGMENTS,
@@ -481,16 +503,18 @@ def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILAR
         F.xxhash64("key", F.element_at("keys", (F.col("at") + 1) % F.size("keys") + 1),
                    F.element_at("keys", (F.col("at") + 2) % F.size("keys") + 1)).alias("chain"))
     pairs = stored(_candidates(keyed, similarity, max_paired), "near-pairs")
-    crowded = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max_paired).select("key")
-    members = stored(keyed.select("key", "rid").join(crowded, "key"), "near-members")
-    dropped(signatures)
     sets = stored(_shingle_sets(_texts_of(base, _ends(pairs)), words), "near-sets")
     links = stored(_verified(pairs, sets, similarity).unionByName(copies.where("u <> v")), "near-links")
-    for done in (slim, pairs, sets):
+    for done in (pairs, sets):
         dropped(done)
-    links = _crowded_links(base.select("rid", "text"), members, links, words, similarity)
-    dropped(members)
-    return components(links).select(F.col("node").alias("rid"), "root")
+    # Every key of every text with its component: what stars and chains left apart is found by an aggregate.
+    rooted = stored(single.join(_roots(links), "rid", "left").select("rid", "keys", F.coalesce("root", "rid").alias("comp")), "near-rooted")
+    dropped(signatures)
+    dropped(slim)
+    crowded = stored(_in_several(rooted.select("rid", "comp", F.explode("keys").alias("key")), max_paired), "near-crowded")
+    dropped(rooted)
+    links = _crowded_links(base.select("rid", "text"), crowded, links, words, similarity)
+    return _roots(links)
 
 
 def without_near_duplicates(documents: DataFrame, words: int = 5, similarity: float = SIMILARITY, **options) -> DataFrame:
