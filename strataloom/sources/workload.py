@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-WORDS = ("graph memory recall vector scope temporal edge node index query agent session entity ranking decay anchor").split()
+#: Invented words of two or three syllables.
+_SYLLABLES = ("ba", "dor", "lin", "mu", "sev", "tak", "ro", "pen")
+WORDS = [x + y + z for x in _SYLLABLES for y in _SYLLABLES for z in ("", "s") if x != y]
 
 
 def memories(spark: SparkSession, n: int, seed: int = 0xC0FFEE) -> DataFrame:

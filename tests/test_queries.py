@@ -62,21 +62,21 @@ def small(spark, tmp_path_factory):
     return d, items, docs
 
 
-def test_used_rule_all(spark, small):
+def test_used_rule(spark, small):
     d, items, docs = small
     words = lambda t: set(re.findall("[a-z0-9]{3,}", (t or "").lower()))
     want = {(i, k) for i, m in items for k, t in docs if words(m) and 2 * len(words(m) & words(t)) >= len(words(m))}
-    assert {tuple(r) for r in catalog.QUERIES["used_rule_all"](spark, d).select("item_id", "doc_id").collect()} == want
+    assert {tuple(r) for r in catalog.QUERIES["used_rule"](spark, d).select("item_id", "doc_id").collect()} == want
 
 
-def test_dup_pairs_text_all(spark, small):
+def test_dup_pairs_text(spark, small):
     d, items, docs = small
     rows = [(i, set(t.lower().split())) for i, t in items] + [(1000000 + k, set((t or "").lower().split())) for k, t in docs]
     want = {(a, b): round(len(x & y) / min(len(x), len(y)), 6) for a, x in rows for b, y in rows
             if a < b and x and y and len(x & y) >= 0.7 * min(len(x), len(y))}
     empty = [a for a, x in rows if not x]
     want |= {(empty[0], b): 1.0 for b in empty[1:]}  # rows without a word are linked to the first of them
-    got = catalog.QUERIES["dup_pairs_text_all"](spark, d).collect()
+    got = catalog.QUERIES["dup_pairs_text"](spark, d).collect()
     assert {(r.a, r.b): r.similarity for r in got} == want and len(got) == len(want)
 
 
