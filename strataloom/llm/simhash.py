@@ -22,11 +22,10 @@ Near-duplicates by similarity. `near_duplicates` links texts whose sets of five-
 Jaccard similarity of 0.8 or more. There the bits of the fingerprint are laid out by shingle class:
 a shingle belongs to one of c classes by its hash, each class has a 64-bit SimHash of its own, and
 these are the ring's segments. Two sets of n shingles with similarity s differ in at most
-2n(1-s)/(1+s) shingles, so with more classes than that some segment is untouched and equal; short
-texts with too few filled classes add their least shingles as keys, which is exact too. Texts of 64
-shingles or more use `max_segments` of their classes: a class is untouched with a chance of at least 1/e, so two
-that are exactly 0.8 alike miss all 24 with one of at most 2.2e-5, and the more alike the less. Candidates
-are verified by the exact similarity of the sets. Keys of more than `max_paired` texts first give stars and pairs of longer chains;
+2n(1-s)/(1+s) shingles, so with more classes than that some segment is untouched and equal; texts with
+too few filled classes add their least shingles as keys, so that no pair so alike is missed. The keys of
+the first classes find nearly all; those of the others are then looked through for keys whose members
+still lie in different groups (`_late_links`). Candidates are verified by the exact similarity of the sets. Keys of more than `max_paired` texts first give stars and pairs of longer chains;
 where these leave such a key's members in several groups, all members of different groups are compared
 by parity sketches, block by block, and what the sketches allow is verified (`_crowded_links`).
 
@@ -225,13 +224,16 @@ def op7_query(spark, sf_dir):
 # ---------------------------------------------------------------- near-duplicates by similarity
 
 SIMILARITY = 0.8
-MAX_SEGMENTS = 24
+#: Classes whose keys give the first candidates; those of the others come second.
+FIRST_CLASSES = 12
 #: Members of a key that are paired by a join; more go by longer chains and stars, then by sketches.
 MAX_PAIRED = 8
 #: Bits of a parity sketch, and those of its first part, which is looked at first.
 SKETCH_BITS, GLANCE_BITS = 4096, 1024
 #: Members of a crowded key that one task compares with as many others.
 BLOCK = 4096
+#: Keys of one Arrow batch (one text's keys more, at most).
+KEY_ROWS = 1 << 17
 
 
 def class_count(scale: int, similarity: float) -> int:
@@ -241,55 +243,83 @@ def class_count(scale: int, similarity: float) -> int:
     return int(2 * largest * (1 - similarity) / (1 + similarity)) + 1
 
 
-def segment_keys(hashes: np.ndarray, similarity: float = SIMILARITY, most: int = MAX_SEGMENTS) -> np.ndarray:
-    """Keys of one text's segments: for each scale that the text shares with sets of similar size, the
-    SimHash of each class of its distinct shingles (sorted `hashes`), tagged with scale and class.
+def segment_keys(hashes: np.ndarray, similarity: float = SIMILARITY, first: int = FIRST_CLASSES) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of one text's segments, those of the `first` classes and those of the others: for each scale
+    that the text shares with sets of similar size, the SimHash of each class of its distinct shingles
+    (sorted `hashes`), tagged with scale and class.
 
-    A set that is alike differs in n / similarity - n shingles at most. If more classes than that hold a
-    shingle, one of them is untouched, and its key equal. A short text may have fewer; if so, it also gets
-    its least shingles, of which two sets so alike share one. A pair misses every class only if this is so for both."""
+    If more classes hold a shingle than a set that is alike can differ in, one of them is untouched, and its
+    key equal. A text may have fewer; if so, it also gets its least shingles, of which two sets so alike
+    share one. Two sets that both have fewer are found by these, all others by a class."""
     n = len(hashes)
     if not n:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     scale = n.bit_length() - 1
-    scales = [scale] + ([scale - 1] if scale and n * similarity < 2**scale else [])
-    out, few = [], False
-    for s in scales:
+    # With each scale the largest set that is found by it.
+    scales = [(scale, n / similarity)] + ([(scale - 1, 2**scale - 1)] if scale and n * similarity < 2**scale else [])
+    early, late, few = [], [], False
+    for s, largest in scales:
         classes = class_count(s, similarity)
         own = mix64(hashes ^ np.uint64(s + 1)) % np.uint64(classes)
-        keep = own < most
-        order = np.argsort(own[keep], kind="stable")
-        kind, counts = np.unique(own[keep], return_counts=True)
-        few |= classes <= most and len(kind) <= n / similarity - n + 1e-9
-        prints = bit_majorities(hashes[keep][order], counts)
+        order = np.argsort(own, kind="stable")
+        kind, counts = np.unique(own, return_counts=True)
+        few |= len(kind) <= (n + largest) * (1 - similarity) / (1 + similarity) + 1e-9
+        prints = bit_majorities(hashes[order], counts)
         with np.errstate(over="ignore"):
-            out.append(mix64(prints + mix64(np.uint64(s * 64 + 1) * np.uint64(0x9E3779B97F4A7C15) + kind)))
+            keys = mix64(prints + mix64(np.uint64((s + 1) << 32) * np.uint64(0x9E3779B97F4A7C15) + kind))
+        early.append(keys[kind < first])
+        late.append(keys[kind >= first])
     if few:
         least = int(n - np.ceil(similarity * n - 1e-9) + 1)
-        out.append(mix64(hashes[:least] ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.concatenate(out)
+        early.append(mix64(hashes[:least] ^ np.uint64(0x5851F42D4C957F2D)))
+    return np.concatenate(early), np.concatenate(late)
 
 
-def _signatures(base: DataFrame, words: int, similarity: float, most: int) -> DataFrame:
-    """rid, n (distinct shingles), keys (array) of every row."""
+def _row_sets(texts, words: int):
+    """The sorted distinct shingle hashes of each text of an Arrow column."""
+    data, offsets = text_bytes(texts)
+    for a, b in steps(offsets):
+        hashes, counts = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
+        ends = np.cumsum(counts)
+        for end, count in zip(ends.tolist(), counts.tolist()):
+            yield np.unique(hashes[end - count : end])
+
+
+def _signatures(base: DataFrame, words: int, similarity: float, first: int) -> DataFrame:
+    """rid, n (distinct shingles), keys (array, of the first classes) of every row."""
 
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
             sizes, keys = [], []
-            for a, b in steps(offsets):
-                hashes, counts = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                ends = np.cumsum(counts)
-                for end, count in zip(ends.tolist(), counts.tolist()):
-                    own = np.unique(hashes[end - count : end])
-                    sizes.append(len(own))
-                    keys.append(segment_keys(own, similarity, most).view(np.int64))
+            for own in _row_sets(batch.column(1), words):
+                sizes.append(len(own))
+                keys.append(segment_keys(own, similarity, first)[0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "n", "keys"])
 
     return base.select("rid", "text").mapInArrow(run, "rid long, n long, keys array<long>")
 
 
+def _late_keys(placed: DataFrame, words: int, similarity: float, first: int) -> DataFrame:
+    """(key, rid, comp) for the keys of the other classes of rows (rid, comp, text)."""
+
+    def run(batches):
+        for batch in batches:
+            rid, comp = (batch.column(k).to_numpy() for k in (0, 1))
+            keys, at, held = [], [], 0
+            for i, own in enumerate(_row_sets(batch.column(2), words)):
+                keys.append(segment_keys(own, similarity, first)[1].view(np.int64))
+                at.append(i)
+                held += len(keys[-1])
+                if held > KEY_ROWS or i + 1 == batch.num_rows:
+                    row = np.repeat(np.array(at), [len(k) for k in keys])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys)), pa.array(rid[row]), pa.array(comp[row])], ["key", "rid", "comp"])
+                    keys, at, held = [], [], 0
+
+    return placed.select("rid", "comp", "text").mapInArrow(run, "key long, rid long, comp long")
+
+
 def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("rid")).unionByName(pairs.select(F.col("v").alias("rid")))
 
@@ -303,12 +333,7 @@ def _texts_of(base: DataFrame, rows: DataFrame) -> DataFrame:
 def _shingle_sets(base: DataFrame, words: int) -> DataFrame:
     def run(batches):
         for batch in batches:
-            data, offsets = text_bytes(batch.column(1))
-            sets = []
-            for a, b in steps(offsets):
-                hashes, counts = shingle_hashes(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
-                ends = np.cumsum(counts)
-                sets += [np.unique(hashes[e - c : e]).view(np.int64) for e, c in zip(ends.tolist(), counts.tolist())]
+            sets = [own.view(np.int64) for own in _row_sets(batch.column(1), words)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["rid", "s"])
 
     return base.select("rid", "text").mapInArrow(run, "rid long, s array<long>")
@@ -477,6 +502,35 @@ def _still_parted(members: DataFrame, roots: DataFrame, failed: DataFrame) -> Da
     return out
 
 
+def _late_links(base: DataFrame, single: DataFrame, tried: DataFrame, links: DataFrame, words: int, similarity: float,
+                first: int, max_paired: int) -> DataFrame:
+    """`links` and further ones, so that members of one key of the later classes that are alike are connected.
+    Only keys whose members lie in several components matter. An aggregate finds them, for which keys and
+    components alone are shuffled; their members are then read off the texts again. `tried` pairs are known."""
+    comps = single.select("rid").join(_roots(links), "rid", "left").select("rid", F.coalesce("root", "rid").alias("comp"))
+    held = stored(comps, "near-late-placed")
+    keyed = _late_keys(base.join(held.hint("shuffle_hash"), "rid"), words, similarity, first)
+    parted = stored(keyed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"),
+                    "near-late-keys")
+    if not parted.isEmpty():
+        members = stored(keyed.join(parted, "key"), "near-late-members")
+        sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
+        few = members.join(sizes.where(F.col("c") <= max_paired).select("key"), "key")
+        a, b = few.alias("a"), few.alias("b")
+        pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.comp") != F.col("b.comp"))).select(
+            F.col("a.rid").alias("u"), F.col("b.rid").alias("v")).distinct()
+        fresh = stored(pairs.join(tried, ["u", "v"], "left_anti"), "near-late-pairs")
+        sets = stored(_shingle_sets(_texts_of(base, _ends(fresh)), words), "near-sets")
+        links = links.unionByName(stored(_verified(fresh, sets, similarity), "near-late-links"))
+        crowded = stored(members.join(sizes.where(F.col("c") > max_paired).select("key"), "key"), "near-crowded")
+        for done in (members, fresh, sets):
+            dropped(done)
+        links = _crowded_links(base, crowded, links, words, similarity)
+    dropped(parted)
+    dropped(held)
+    return links
+
+
 def _roots(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("rid"), "root")
 
@@ -488,7 +542,7 @@ def _in_several(placed: DataFrame, more_than: int) -> DataFrame:
     return placed.select("key", "rid", "comp").join(parted, "key")
 
 
-def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILARITY, max_segments: int = MAX_SEGMENTS,
+def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILARITY, first: int = FIRST_CLASSES,
                     max_paired: int = MAX_PAIRED) -> DataFrame:
     """(rid, root) of the rows of `base` (unique rid, text) that belong to a group of two or more; root is
     the group's smallest rid. Equal texts are grouped first, and only one of them goes on."""
@@ -496,7 +550,7 @@ def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILAR
     slim = stored(base.select("rid", digest), "near-digests")
     classes = slim.groupBy("digest").agg(F.min("rid").alias("root"), F.count(F.lit(1)).alias("c"))
     copies = slim.join(classes.where("c > 1"), "digest").select(F.col("rid").alias("u"), F.col("root").alias("v"))
-    signatures = stored(_signatures(base, words, similarity, max_segments), "near-keys")
+    signatures = stored(_signatures(base, words, similarity, first), "near-keys")
     single = signatures.join(classes.select(F.col("root").alias("rid")), "rid")
     keyed = single.select("rid", "n", F.posexplode("keys").alias("at", "key"), "keys").select(
         "rid", "n", "key",
@@ -505,15 +559,16 @@ def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILAR
     pairs = stored(_candidates(keyed, similarity, max_paired), "near-pairs")
     sets = stored(_shingle_sets(_texts_of(base, _ends(pairs)), words), "near-sets")
     links = stored(_verified(pairs, sets, similarity).unionByName(copies.where("u <> v")), "near-links")
-    for done in (pairs, sets):
-        dropped(done)
+    dropped(sets)
     # Every key of every text with its component: what stars and chains left apart is found by an aggregate.
     rooted = stored(single.join(_roots(links), "rid", "left").select("rid", "keys", F.coalesce("root", "rid").alias("comp")), "near-rooted")
-    dropped(signatures)
-    dropped(slim)
     crowded = stored(_in_several(rooted.select("rid", "comp", F.explode("keys").alias("key")), max_paired), "near-crowded")
     dropped(rooted)
-    links = _crowded_links(base.select("rid", "text"), crowded, links, words, similarity)
+    texts = base.select("rid", "text")
+    links = _crowded_links(texts, crowded, links, words, similarity)
+    links = _late_links(texts, single, pairs, links, words, similarity, first, max_paired)
+    for done in (signatures, slim, pairs):
+        dropped(done)
     return _roots(links)
 
 
