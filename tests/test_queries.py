@@ -8,6 +8,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
+from strataloom.operators import containment
 from strataloom.plans import catalog
 
 DATA = Path("/root/testdata/sf0.001")
@@ -80,6 +81,30 @@ def test_dup_pairs_text(spark, small):
     assert {(r.a, r.b): r.similarity for r in got} == want and len(got) == len(want)
 
 
+def test_dup_pairs_text_shuffles_no_candidates(spark, tmp_path):
+    d, small = str(tmp_path), 40
+    texts = [" ".join(f"common{j}" for j in range(k % 7, k % 7 + 8)) + " " + " ".join(f"own{k}x{j}" for j in range(k % 5)) for k in range(300)]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts[:small])], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts[small:])], "doc_id long, text string").write.parquet(f"{d}/documents.parquet")
+    found = catalog.QUERIES["dup_pairs_text"](spark, d)
+    sets = [(k if k < small else 1000000 + k - small, set(t.split())) for k, t in enumerate(texts)]
+    want = {(a, b) for a, x in sets for b, y in sets if a < b and len(x & y) >= 0.7 * min(len(x), len(y))}
+    assert {(r.a, r.b) for r in found.collect()} == want and len(want) > 1000
+    assert "Generate" not in found._jdf.queryExecution().optimizedPlan().toString()  # no word is a row of its own
+
+
+def test_containment_in_blocks(spark):
+    draw = random.Random(8)
+    sets = [draw.sample(range(-40, 40), draw.choice((1, 2, 3, 10, 40))) for _ in range(150)]
+    sets += [sets[3]] * 5 + [[2**63 - 1, -(2**63)]] * 2
+    frame = spark.createDataFrame(list(enumerate(sets)), "id long, w array<long>").repartition(3)
+    for rows in (1, 7, 8192):
+        got = [tuple(r) for r in containment.pairs(frame, 0.7, rows).collect()]
+        want = {(a, b, len({*x} & {*y}) / min(len(x), len(y))) for a, x in enumerate(sets) for b, y in enumerate(sets)
+                if a < b and len({*x} & {*y}) >= 0.7 * min(len(x), len(y))}
+        assert set(got) == want and len(got) == len(want)
+
+
 def test_whole_lineitem_and_customer(spark, tmp_path):
     lines = [(1, 7), (1, 9), (1, 9), (2, 7), (400, 7), (400, 8), (900, 9), (900, 7), (901, 7), (901, 9), (901, 10)]
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
