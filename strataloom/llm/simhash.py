@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import Hidden, components, dropped, mix64, steps, stored, stored_by, text_bytes
+from strataloom.llm.common import Hidden, components, dropped, mix64, released, steps, stored, stored_by, text_bytes
 from strataloom.llm.words import LOWER, UNBLANK, word_bounds
 
 SEED = 42
@@ -232,8 +232,8 @@ MAX_PAIRED = 8
 SKETCH_BITS, GLANCE_BITS = 4096, 1024
 #: Members of a crowded key that one task compares with as many others.
 BLOCK = 4096
-#: Keys of one Arrow batch (one text's keys more, at most).
-KEY_ROWS = 1 << 17
+#: Keys that are packed at once (one text's keys more, at most), and shingles for each part they are dealt to.
+KEY_ROWS, PART_SHINGLES = 1 << 20, 1 << 20
 
 
 def class_count(scale: int, similarity: float) -> int:
@@ -300,24 +300,77 @@ def _signatures(base: DataFrame, words: int, similarity: float, first: int) -> D
     return base.select("rid", "text").mapInArrow(run, "rid long, n long, keys array<long>")
 
 
-def _late_keys(placed: DataFrame, words: int, similarity: float, first: int) -> DataFrame:
-    """(key, rid, comp) for the keys of the other classes of rows (rid, comp, text)."""
+def _planes(x: np.ndarray) -> bytes:
+    """Differences of integers, byte by byte: the many zero bytes lie together, where a shuffle packs them."""
+    return np.ascontiguousarray(np.diff(x, prepend=x[:1] * 0).view(np.uint8).reshape(-1, 8).T).tobytes()
 
-    def run(batches):
+
+def _unplaned(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view(np.int64).ravel())
+
+
+def pack_keys(keys: list[np.ndarray], rid: np.ndarray, comp: np.ndarray, parts: int) -> list[tuple[int, bytes, bytes, bytes, bytes]]:
+    """The 48 upper bits of each row's keys, dealt to parts by key: (part, keys, places of their rows, rids,
+    comps less rids). Eight bytes a key; equal keys stay equal, and a chance agreement is one more candidate."""
+    order = np.argsort(rid, kind="stable")
+    flat = np.concatenate([keys[i] for i in order]) >> np.uint64(16)
+    row = np.repeat(np.arange(len(order)), [len(keys[i]) for i in order])
+    part = flat % np.uint64(parts)
+    by_part = np.argsort(part, kind="stable")
+    cut = np.searchsorted(part[by_part], np.arange(parts + 1, dtype=np.uint64))
+    out = []
+    for p in np.flatnonzero(np.diff(cut)).tolist():
+        own = by_part[cut[p] : cut[p + 1]]
+        used, at = np.unique(row[own], return_inverse=True)
+        r, low = rid[order[used]], flat[own]
+        out.append((p, low.astype("<u4").tobytes() + (low >> np.uint64(32)).astype("<u2").tobytes(),
+                    at.astype("<u2" if len(used) <= 1 << 16 else "<u4").tobytes(), _planes(r), _planes(comp[order[used]] - r)))
+    return out
+
+
+def parted_keys(packs: list[tuple[bytes, bytes, bytes, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, rid, comp) of the packed keys of one part that rows of several components share."""
+    keys, rids, comps = [], [], []
+    for key, place, rid, off in packs:
+        n = len(key) // 6
+        keys.append(np.frombuffer(key, "<u4", n).astype(np.int64) | np.frombuffer(key, "<u2", n, 4 * n).astype(np.int64) << 32)
+        r = _unplaned(rid)
+        at = np.frombuffer(place, "<u2" if len(place) == 2 * n else "<u4")
+        rids.append(r[at])
+        comps.append((r + _unplaned(off))[at])
+    key, rid, comp = (np.concatenate(x) for x in (keys, rids, comps))
+    order = np.argsort(key)
+    key, rid, comp = key[order], rid[order], comp[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    several = np.minimum.reduceat(comp, first) != np.maximum.reduceat(comp, first)
+    keep = np.repeat(several, np.diff(np.append(first, len(key))))
+    return key[keep], rid[keep], comp[keep]
+
+
+def _late_members(placed: DataFrame, words: int, similarity: float, first: int, parts: int) -> DataFrame:
+    """(key, rid, comp) for the keys of the other classes that rows (rid, comp, text) of several components share.
+    Keys go through one shuffle, packed; only those that part components become rows."""
+
+    def pack(batches):
         for batch in batches:
             rid, comp = (batch.column(k).to_numpy() for k in (0, 1))
-            keys, at, held = [], [], 0
+            keys, begin, held = [], 0, 0
             for i, own in enumerate(_row_sets(batch.column(2), words)):
-                keys.append(segment_keys(own, similarity, first)[1].view(np.int64))
-                at.append(i)
+                keys.append(segment_keys(own, similarity, first)[1])
                 held += len(keys[-1])
                 if held > KEY_ROWS or i + 1 == batch.num_rows:
-                    row = np.repeat(np.array(at), [len(k) for k in keys])
+                    rows = pack_keys(keys, rid[begin : i + 1], comp[begin : i + 1], parts)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.concatenate(keys)), pa.array(rid[row]), pa.array(comp[row])], ["key", "rid", "comp"])
-                    keys, at, held = [], [], 0
+                        [pa.array(c, t) for c, t in zip(list(zip(*rows)) or [()] * 5, (pa.int32(), *[pa.binary()] * 4))],
+                        ["part", "keys", "places", "rids", "offs"])
+                    keys, begin, held = [], i + 1, 0
 
-    return placed.select("rid", "comp", "text").mapInArrow(run, "key long, rid long, comp long")
+    def find(frame):
+        return pd.DataFrame(dict(zip(("key", "rid", "comp"), parted_keys(list(zip(*(frame[c] for c in ("keys", "places", "rids", "offs"))))))))
+
+    return placed.select("rid", "comp", "text").mapInArrow(
+        pack, "part int, keys binary, places binary, rids binary, offs binary").groupBy("part").applyInPandas(
+        find, "key long, rid long, comp long")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:
@@ -356,6 +409,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     return both.select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def _allowed(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) that their sketches allow to be `similarity` alike: all that are, and few others. A sketch has a
+    fraction of a set's size, so that refused pairs cost a shuffle little."""
+    both = pairs.join(sketches.select(F.col("rid").alias("u"), F.col("n").alias("nu"), F.col("sketch").alias("su")), "u").join(
+        sketches.select(F.col("rid").alias("v"), F.col("n").alias("nv"), F.col("sketch").alias("sv")), "v").where(
+        F.least("nu", "nv") >= F.lit(similarity) * F.greatest("nu", "nv") - 1e-6)
+    least = (1 - similarity) / (1 + similarity)
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for k in (2, 3))
+            apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            near = apart <= least * batch.column(4).to_numpy() + 1e-6
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(near))
+
+    return both.select("u", "v", "su", "sv", (F.col("nu") + F.col("nv")).alias("n")).mapInArrow(run, "u long, v long")
+
+
 def _candidates(keyed: DataFrame, similarity: float, max_paired: int) -> DataFrame:
     """Pairs of rows that share a key. `keyed` has rid, n, key and chain (the key with the next ones of the
     same text's ring). A crowded key is told apart by its chain; rows that agree even in a crowded chain
@@ -505,28 +576,29 @@ def _still_parted(members: DataFrame, roots: DataFrame, failed: DataFrame) -> Da
 def _late_links(base: DataFrame, single: DataFrame, tried: DataFrame, links: DataFrame, words: int, similarity: float,
                 first: int, max_paired: int) -> DataFrame:
     """`links` and further ones, so that members of one key of the later classes that are alike are connected.
-    Only keys whose members lie in several components matter. An aggregate finds them, for which keys and
-    components alone are shuffled; their members are then read off the texts again. `tried` pairs are known."""
-    comps = single.select("rid").join(_roots(links), "rid", "left").select("rid", F.coalesce("root", "rid").alias("comp"))
+    Only keys whose members lie in several components matter. `tried` pairs are known."""
+    comps = single.select("rid", "n").join(_roots(links), "rid", "left").select("rid", "n", F.coalesce("root", "rid").alias("comp"))
     held = stored(comps, "near-late-placed")
-    keyed = _late_keys(base.join(held.hint("shuffle_hash"), "rid"), words, similarity, first)
-    parted = stored(keyed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key"),
-                    "near-late-keys")
-    if not parted.isEmpty():
-        members = stored(keyed.join(parted, "key"), "near-late-members")
+    parts = max(1, (held.agg(F.sum("n")).first()[0] or 0) // PART_SHINGLES)
+    members = stored(_late_members(base.join(held.drop("n").hint("shuffle_hash"), "rid"), words, similarity, first, parts), "near-late-members")
+    released(base.sparkSession)
+    if not members.isEmpty():
         sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("c"))
         few = members.join(sizes.where(F.col("c") <= max_paired).select("key"), "key")
         a, b = few.alias("a"), few.alias("b")
         pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rid") < F.col("b.rid")) & (F.col("a.comp") != F.col("b.comp"))).select(
             F.col("a.rid").alias("u"), F.col("b.rid").alias("v")).distinct()
         fresh = stored(pairs.join(tried, ["u", "v"], "left_anti"), "near-late-pairs")
-        sets = stored(_shingle_sets(_texts_of(base, _ends(fresh)), words), "near-sets")
-        links = links.unionByName(stored(_verified(fresh, sets, similarity), "near-late-links"))
+        sketches = stored(_sketches(_texts_of(base, _ends(fresh)), words), "near-sketches")
+        allowed = stored(_allowed(fresh, sketches, similarity), "near-late-allowed")
+        sets = stored(_shingle_sets(_texts_of(base, _ends(allowed)), words), "near-sets")
+        links = links.unionByName(stored(_verified(allowed, sets, similarity), "near-late-links"))
         crowded = stored(members.join(sizes.where(F.col("c") > max_paired).select("key"), "key"), "near-crowded")
-        for done in (members, fresh, sets):
+        for done in (fresh, sketches, allowed, sets):
             dropped(done)
+        released(base.sparkSession)
         links = _crowded_links(base, crowded, links, words, similarity)
-    dropped(parted)
+    dropped(members)
     dropped(held)
     return links
 
@@ -565,7 +637,9 @@ def near_duplicates(base: DataFrame, words: int = 5, similarity: float = SIMILAR
     crowded = stored(_in_several(rooted.select("rid", "comp", F.explode("keys").alias("key")), max_paired), "near-crowded")
     dropped(rooted)
     texts = base.select("rid", "text")
+    released(base.sparkSession)
     links = _crowded_links(texts, crowded, links, words, similarity)
+    released(base.sparkSession)
     links = _late_links(texts, single, pairs, links, words, similarity, first, max_paired)
     for done in (signatures, slim, pairs):
         dropped(done)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 import xxhash
 
@@ -283,6 +284,39 @@ def test_near_duplicates_by_later_classes(spark):
         assert [got.get(a, a) for a in range(len(rows))] == [find(a) for a in range(len(rows))]
 
 
+def test_packed_keys_of_several_components():
+    draw = np.random.default_rng(6)
+    common = draw.integers(0, 1 << 64, 300, np.uint64, endpoint=False)
+    rid = draw.permutation(3000).astype(np.int64) + (7 << 33)
+    comp = np.where(draw.random(3000) < 0.9, rid, rid.min())
+    keys = [np.concatenate([draw.integers(0, 1 << 64, 200, np.uint64), draw.choice(common, k % 3)]) for k in range(3000)]
+    found, size = [], 0
+    for part in range(3):
+        packs = [row[1:] for a, b in ((0, 1000), (1000, 3000)) for row in simhash.pack_keys(keys[a:b], rid[a:b], comp[a:b], 3) if row[0] == part]
+        size += sum(len(pa.compress(x, codec="lz4", asbytes=True)) for row in packs for x in row if x)
+        found += zip(*(x.tolist() for x in simhash.parted_keys(packs)))
+    assert size < 9 * sum(map(len, keys))  # a key was shuffled twice, at 17 bytes each
+    holders = {}
+    for own, r, c in zip(keys, rid.tolist(), comp.tolist()):
+        for x in own.tolist():
+            holders.setdefault(x >> 16, []).append((x >> 16, r, c))
+    want = [row for rows in holders.values() if len({c for _, _, c in rows}) > 1 for row in rows]
+    assert sorted(found) == sorted(want) and len(want) > 1000
+
+
+def test_sketches_refuse_pairs_before_sets_are_joined(spark):
+    draw = random.Random(12)
+    base = [f"w{k}" for k in range(400)]
+    rows = [(k, " ".join(draw.choice(("x", w)) if draw.random() < k / 400 else w for w in base)) for k in range(40)]
+    rows += [(40, ""), (41, None), (42, "a b c"), (43, "a b c d e f")]
+    sets = [frozenset(tuple(w[j : j + 5]) for j in range(max(1, len(w) - 4))) if w else frozenset() for _, t in rows for w in [(t or "").split()]]
+    frame = spark.createDataFrame(rows, "rid long, text string")
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a + 1, len(rows))]
+    got = {tuple(r) for r in simhash._allowed(spark.createDataFrame(pairs, "u long, v long"), simhash._sketches(frame, 5), 0.8).collect()}
+    want = {(a, b) for a, b in pairs if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert want <= got and 10 < len(want) and len(got - want) < (len(pairs) - len(want)) / 4
+
+
 def test_forests_join_what_is_alike():
     draw, rows = np.random.default_rng(3), []
     base = draw.integers(0, 1 << 60, 300)
