@@ -11,7 +11,8 @@ task holds more than `partition_pieces` pieces (at the last levels: what was giv
 
 The tokenizer is a file of the `tokenizers` library, named by path and read once in each worker. For
 texts of Latin characters its normaliser and word pattern are applied here and the ids of each word
-are remembered; all other texts, and texts that may hold special tokens, go through the library whole.
+and of each run between blanks are remembered by the worker; all other texts, and texts that may hold
+special tokens, go through the library whole.
 
 Defined results: a null or empty text is one piece that holds the end id alone; a very long text is
 cut into pieces; repeated rows are packed each for itself; an empty table gives no row; other columns
@@ -20,6 +21,7 @@ are ignored. Ties between equal lengths are broken by row.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import unicodedata
@@ -56,8 +58,9 @@ _NUMBER = _class(lambda c: unicodedata.category(chr(c))[0] == "N")
 _REST = _class(lambda c: unicodedata.category(chr(c))[0] not in "LN" and c not in _BLANK)
 #: The tokenizer's own word pattern, over Latin characters.
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[{_REST}]+")
-#: Texts with other characters, a capital that lower-cases to two, or a possible special token.
-_OTHER = re.compile("[^\\x00-\u012f\u0131-\u017f]|<\\|")
+#: Texts with other characters, a capital that lower-cases to two, a separator that Python takes for a blank
+#: and the tokenizer does not, or a possible special token.
+_OTHER = re.compile("[^\\x00-\\x1b\\x20-\u012f\u0131-\u017f]|<\\|")
 
 
 class WordIds(dict):
@@ -69,12 +72,18 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.tokenizer, self.old, self.runs = Tokenizer.from_file(path), {}, RunIds(self)
+        self.model = self.tokenizer.model
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+            # The bytes of printable ASCII stand for themselves, so that such a word needs the merges alone.
+            if word.isascii() and word.isprintable():
+                coded = [token.id for token in self.model.tokenize(word)]
+            else:
+                coded = self.tokenizer.encode(word, add_special_tokens=False).ids
+            ids = np.array(coded, "<u4").tobytes()
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
@@ -84,7 +93,32 @@ class WordIds(dict):
     def of(self, text: str) -> bytes:
         if _OTHER.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, _PIECES.findall(text.lower())))
+        return b"".join(map(self.runs.__getitem__, text.lower().split()))
+
+
+class RunIds(dict):
+    """Ids of runs of characters without a blank, from those of their words: a word never spans a blank. Kept in
+    two generations as the words are."""
+
+    def __init__(self, words: WordIds):
+        super().__init__()
+        self.words, self.old = words, {}
+
+    def __missing__(self, run: str) -> bytes:
+        ids = self.old.get(run)
+        if ids is None:
+            ids = b"".join(map(self.words.__getitem__, _PIECES.findall(run)))
+        if len(self) >= REMEMBERED:
+            self.old = dict(self)
+            self.clear()
+        self[run] = ids
+        return ids
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """The words that this worker remembers, from one task to the next."""
+    return WordIds(path)
 
 
 def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
@@ -92,7 +126,7 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches):
-        words = WordIds(tokenizer_path)
+        words = word_ids(tokenizer_path)
         for batch in batches:
             rows, ids = ([], [], [], [], []), batch.column(0)
             for i, text in enumerate(batch.column(1)):

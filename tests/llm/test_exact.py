@@ -284,6 +284,20 @@ def test_near_duplicates_by_later_classes(spark):
         assert [got.get(a, a) for a in range(len(rows))] == [find(a) for a in range(len(rows))]
 
 
+def test_word_ids_are_the_tokenizers():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words, whole, draw = packing.word_ids(path), Tokenizer.from_file(path), random.Random(4)
+    assert packing.word_ids(path) is words  # a worker keeps what it remembers for its next task
+    marks = [chr(c) for c in range(0x180)] + ["'s", "'LL", "we're", "don't", " ", " ", "\n", "the", "Ortionst", "\x1c", "\x1f", "\x85", "\xa0", "\u0130"]
+    texts = ["".join(draw.choices(marks, k=draw.randrange(1, 40))) for _ in range(3000)]
+    texts += ["".join(chr(draw.randrange(0x20, 0x7F)) for _ in range(60)) for _ in range(2000)] + ["a\x1cb", "it'se 'tis", "x\x85y", ""]
+    for text in texts * 2:
+        assert words.of(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+
+
 def test_packed_keys_of_several_components():
     draw = np.random.default_rng(6)
     common = draw.integers(0, 1 << 64, 300, np.uint64, endpoint=False)
