@@ -100,6 +100,18 @@ def test_run_length_index():
     assert sum(n for _, n in index.runs) == index.n and len(every) < index.n + 1
 
 
+def test_suffixes_in_order():
+    """Sorted by symbols, a text's end before all bytes, equal suffixes by text; ranks take four bytes each."""
+    draw = random.Random(13)
+    for _ in range(60):
+        base = bytes(draw.choices(b"ab", k=90))
+        texts = [base[draw.randrange(60):] if draw.random() < 0.5 else bytes(draw.choices(b"a\x00\xff", k=draw.randrange(25))) for _ in range(8)]
+        index = repeats.RunLengthIndex(texts)
+        want = sorted((tuple(b + 1 for b in text[k:]), t, int(index.starts[t]) + k) for t, text in enumerate(texts) for k in range(len(text) + 1))
+        order = index._suffixes()
+        assert order.tolist() == [at for _, _, at in want] and order.dtype == np.int32
+
+
 def slow_chunks(raw, least, bits, most):
     gear = [int(x) for x in chunks._GEAR]
     h, hashes = 0, []
