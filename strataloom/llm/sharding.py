@@ -51,23 +51,28 @@ def _array(values: list[int]):
 
 
 def propagate(cells: DataFrame, quota: list[int], rounds: int = ROUNDS) -> DataFrame:
-    """Move rows of (group, shard, n) cells towards each group's fullest shard while quotas last."""
+    """Move rows of (group, shard, n) cells towards each group's fullest shards while quotas last. Rows only go to
+    a cell as large as theirs or larger, and some request is always granted, so the rounds end."""
     shards = len(quota)
     for _ in range(rounds):
         load = _loads(cells, shards)
         free = _array([max(0, q - x) for q, x in zip(quota, load)])
-        # A group wants the shard that holds most of it among those with room; over-full shards
-        # (only the draw can make them) and shards that hold none of it come last.
+        # A group gathers in its fullest shards, as many as have the room for all of it. What lies in others asks
+        # for that room, fullest shard first, at once: a large group does not take a round for each shard.
         room = F.element_at(free, F.col("shard") + 1)
-        best = cells.groupBy("g").agg(
-            F.max(F.when(room > 0, F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard"))).alias("best"),
-            F.max(F.struct("n", F.xxhash64("g", "shard").alias("tie"), "shard")).alias("top"))
-        wanted = cells.join(best, "g")
-        # The group's fullest shard keeps its rows even if it has no room for more.
-        moving = wanted.where(F.col("best").isNotNull() & (F.col("shard") != F.col("best.shard"))
-                              & (F.col("shard") != F.col("top.shard")))
-        requests = moving.select("g", "shard", "n", F.col("best.shard").alias("to"), F.col("best.n").alias("pull"),
-                                 F.pmod(F.xxhash64("g", F.lit(7)), F.lit(SALTS)).cast("int").alias("salt"))
+        groups = cells.groupBy("g").agg(F.array_sort(F.collect_list(F.struct(
+            (-F.col("n")).alias("less"), F.xxhash64("g", "shard").alias("tie"), "shard", "n", room.alias("room")))).alias("c"))
+        reach = "aggregate(slice(c, 1, {}), 0L, (s, x) -> s + x.n{})"
+        kept = f"size(filter(sequence(1, size(c)), i -> {reach.format('i', ' + x.room')} < {reach.format('size(c)', '')})) + 1"
+        parted = groups.withColumn("kept", F.expr(kept)).select(
+            "g", F.expr("slice(c, 1, kept)").alias("stay"), F.expr("slice(c, kept + 1, size(c))").alias("leave")).where("size(leave) > 0")
+        span = "transform({0}, (x, i) -> struct(x.shard, x.n, aggregate(slice({0}, 1, i), 0L, (s, y) -> s + y.{1}) as a, x.{1} as w))"
+        asking = parted.select("g", F.explode(F.expr(span.format("leave", "n"))).alias("f"), F.expr(span.format("stay", "room")).alias("to")).select(
+            "g", "f", F.explode("to").alias("t"))
+        requests = asking.select(
+            "g", F.col("f.shard").alias("shard"), F.expr("least(f.a + f.w, t.a + t.w) - greatest(f.a, t.a)").alias("n"),
+            F.col("t.shard").alias("to"), F.col("t.n").alias("pull"),
+            F.pmod(F.xxhash64("g", F.lit(7)), F.lit(SALTS)).cast("int").alias("salt")).where("n > 0")
         asked = requests.groupBy("to", "salt").agg(F.sum("n").alias("sum"))
         upto = Window.partitionBy("to").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
         shift = asked.select("to", "salt", F.coalesce(F.sum("sum").over(upto), F.lit(0)).alias("shift"))

@@ -310,6 +310,25 @@ def test_word_ids_are_the_tokenizers():
         assert words.of(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
 
 
+def test_a_large_group_gathers_in_few_rounds(spark):
+    """One group over all shards took a round for each shard that it fills."""
+    cells = [("big", s, 100 + s) for s in range(20)] + [(f"g{k}", s, 1 + (k + s) % 3) for k in range(60) for s in (k % 20, (7 * k + 3) % 20)]
+    held = Counter()
+    for _, s, n in cells:
+        held[s] += n
+    quota = [max(held.values()) + 100] * 20
+    got = [tuple(r) for r in sharding.propagate(spark.createDataFrame(cells, "g string, shard int, n long"), quota, rounds=4).collect()]
+    load, rows, was, used = Counter(), Counter(), Counter(), defaultdict(set)
+    for g, _, n in cells:
+        was[g] += n
+    for g, s, n in got:
+        load[s] += n
+        rows[g] += n
+        used[g].add(s)
+    assert rows == was and all(load[s] <= quota[s] for s in load)
+    assert len(used["big"]) <= 13 and sum(len(x) == 1 for x in used.values()) >= 50
+
+
 def test_packed_keys_of_several_components():
     draw = np.random.default_rng(6)
     common = draw.integers(0, 1 << 64, 300, np.uint64, endpoint=False)
