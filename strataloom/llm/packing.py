@@ -10,9 +10,9 @@ partition is left. Lengths are integers up to `capacity`, so a partition's histo
 task holds more than `partition_pieces` pieces (at the last levels: what was given back).
 
 The tokenizer is a file of the `tokenizers` library, named by path and read once in each worker. For
-texts of Latin characters its normaliser and word pattern are applied here and the ids of each word
-and of each run between blanks are remembered by the worker; all other texts, and texts that may hold
-special tokens, go through the library whole.
+texts of Latin characters its normaliser and word pattern are applied here, a column at a time, and the
+ids of a bounded number of runs between blanks are remembered by the worker; all other texts, and texts
+that may hold special tokens, go through the library whole.
 
 Defined results: a null or empty text is one piece that holds the end id alone; a very long text is
 cut into pieces; repeated rows are packed each for itself; an empty table gives no row; other columns
@@ -24,23 +24,25 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataloom.llm.common import stored
+from strataloom.llm.common import steps, stored, text_bytes
 
 CAPACITY = 4096
 END_ID = 1
 PARTITION_PIECES = 1 << 16
 FAN_IN = 8
-#: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 350_000
+#: Runs whose ids a worker remembers, in each of two generations, and bytes of text whose runs are looked up at once.
+REMEMBERED, TEXT_STEP = 50_000, 1 << 24
 
 # ---------------------------------------------------------------- tokens
 
@@ -63,61 +65,71 @@ _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[{_REST}
 _OTHER = re.compile("[^\\x00-\\x1b\\x20-\u012f\u0131-\u017f]|<\\|")
 
 
+#: The same for Arrow's expressions.
+_OTHER_ARROW = r"[^\x00-\x1b\x20-\x{12f}\x{131}-\x{17f}]|<\|"
+#: The tokenizer's characters for the bytes of a word: those that print stand for themselves.
+_PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTE_CHARS = {b: 0x100 + i for i, b in enumerate(b for b in range(0x100) if b not in _PRINTED)}
+
+
 class WordIds(dict):
-    """Ids of words as little-endian bytes, from the tokenizer where they are not remembered. When the
-    words of this generation fill it, it becomes the old one; words that are met again move over."""
+    """Ids, as little-endian bytes, of runs of characters without a blank: a word never spans a blank. When the
+    runs of this generation fill it, it becomes the old one; runs that are met again move over."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.old, self.runs = Tokenizer.from_file(path), {}, RunIds(self)
-        self.model = self.tokenizer.model
-
-    def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            # The bytes of printable ASCII stand for themselves, so that such a word needs the merges alone.
-            if word.isascii() and word.isprintable():
-                coded = [token.id for token in self.model.tokenize(word)]
-            else:
-                coded = self.tokenizer.encode(word, add_special_tokens=False).ids
-            ids = np.array(coded, "<u4").tobytes()
-        if len(self) >= REMEMBERED:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
-        return ids
-
-    def of(self, text: str) -> bytes:
-        if _OTHER.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.runs.__getitem__, text.lower().split()))
-
-
-class RunIds(dict):
-    """Ids of runs of characters without a blank, from those of their words: a word never spans a blank. Kept in
-    two generations as the words are."""
-
-    def __init__(self, words: WordIds):
-        super().__init__()
-        self.words, self.old = words, {}
+        self.tokenizer, self.old = Tokenizer.from_file(path), {}
+        self.tokens = self.tokenizer.model.tokenize
 
     def __missing__(self, run: str) -> bytes:
         ids = self.old.get(run)
         if ids is None:
-            ids = b"".join(map(self.words.__getitem__, _PIECES.findall(run)))
+            ids = self.word(run) if run.isalpha() else b"".join(map(self.word, _PIECES.findall(run)))
         if len(self) >= REMEMBERED:
             self.old = dict(self)
             self.clear()
         self[run] = ids
         return ids
 
+    def word(self, word: str) -> bytes:
+        """Ids of a word in lower case, by the tokenizer's merges."""
+        if not (word.isascii() and word.isprintable()):
+            word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
+        coded = [token.id for token in self.tokens(word)]
+        return struct.pack(f"<{len(coded)}I", *coded)
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def of(self, text: str) -> bytes:
+        return self.whole(text) if _OTHER.search(text) else b"".join(map(self.__getitem__, text.lower().split()))
+
+    def of_texts(self, texts: pa.Array, end: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts of a column without nulls, `end` after each, and where each one's end. A run is
+        looked up once, however often the column has it."""
+        other = pc.match_substring_regex(texts, _OTHER_ARROW)
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pc.if_else(other, "", texts)))
+        runs, after = split.flatten().dictionary_encode(), np.cumsum(pc.list_value_length(split).to_numpy())
+        coded = list(map(self.__getitem__, runs.dictionary.to_pylist()))
+        apart = np.flatnonzero(other.to_numpy(zero_copy_only=False))
+        coded += [end, *(self.whole(texts[i].as_py()) + end for i in apart.tolist())]
+        last = np.full(len(texts), len(runs.dictionary), np.int32)
+        last[apart] += np.arange(1, len(apart) + 1, dtype=np.int32)
+        size = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
+        code = np.insert(runs.indices.to_numpy(), after, last)
+        n = size[code]
+        upto = np.cumsum(n)
+        place = np.repeat((np.cumsum(size) - size)[code] - (upto - n), n)
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(coded), "<u4")[place], upto[after + np.arange(len(texts))]
+
 
 @functools.cache
 def word_ids(path: str) -> WordIds:
-    """The words that this worker remembers, from one task to the next."""
+    """The runs that this worker remembers, from one task to the next."""
     return WordIds(path)
 
 
@@ -128,15 +140,18 @@ def pieces(documents: DataFrame, tokenizer_path: str, capacity: int = CAPACITY,
     def run(batches):
         words = word_ids(tokenizer_path)
         for batch in batches:
-            rows, ids = ([], [], [], [], []), batch.column(0)
-            for i, text in enumerate(batch.column(1)):
-                coded = words.of(text.as_py() or "") + end
-                for piece, a in enumerate(range(0, len(coded), 4 * capacity)):
-                    part = coded[a : a + 4 * capacity]
-                    for column, value in zip(rows, (i, piece, a // 4, len(part) // 4, zlib.crc32(part))):
-                        column.append(value)
+            rows, names, texts = ([], [], [], [], []), batch.column(0), batch.column(1).fill_null("")
+            for a, b in steps(text_bytes(texts)[1], TEXT_STEP):
+                ids, ends = words.of_texts(texts.slice(a, b - a), end)
+                raw, begin = memoryview(ids).cast("B"), 0
+                for i, stop in enumerate(ends.tolist(), a):
+                    for piece, at in enumerate(range(begin, stop, capacity)):
+                        to = min(at + capacity, stop)
+                        for column, value in zip(rows, (i, piece, at - begin, to - at, zlib.crc32(raw[4 * at : 4 * to]))):
+                            column.append(value)
+                    begin = stop
             yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()),
+                [names.take(pa.array(rows[0], pa.int64())), pa.array(rows[1], pa.int32()),
                  *[pa.array(c, pa.int64()) for c in rows[2:]]],
                 ["doc_id", "piece", "start", "length", "ids_crc32"])
 

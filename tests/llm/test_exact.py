@@ -329,6 +329,22 @@ def test_a_large_group_gathers_in_few_rounds(spark):
     assert len(used["big"]) <= 13 and sum(len(x) == 1 for x in used.values()) >= 50
 
 
+def test_ids_of_a_column_are_the_tokenizers(monkeypatch):
+    """Columns of texts, other scripts and blanks of every kind among them, and few runs remembered."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    words, whole, draw = packing.WordIds(path), Tokenizer.from_file(path), random.Random(8)
+    marks = [chr(c) for c in range(0x180)] + ["'s", " ", " ", "\n", "the", "Straße", "élève", "\u0130", "\u4e2d", "\u2028", "\U0001f600", "<|end|>", "\u200b"]
+    texts = ["".join(draw.choices(marks, k=draw.randrange(0, 40))) for _ in range(2000)] + ["", " ", "\t a \xa0", "é" * 3000]
+    for part in (texts, texts[:1], [""], texts[-3:]):
+        ids, ends = words.of_texts(pa.array([*part, "x"]).slice(0, len(part)), np.array([1], "<u4").tobytes())
+        assert [x.tolist() for x in np.split(ids, ends)[:-1]] == [whole.encode(t, add_special_tokens=False).ids + [1] for t in part]
+        assert len(words) <= 50 and len(words.old) <= 50
+
+
 def test_packed_keys_of_several_components():
     draw = np.random.default_rng(6)
     common = draw.integers(0, 1 << 64, 300, np.uint64, endpoint=False)
