@@ -526,7 +526,7 @@ def _crowded_links(base: DataFrame, placed: DataFrame, links: DataFrame, words:
     alike are connected; `comp` is a member's component by `links`, and every key has members of several. Each round
     takes spanning forests of the pairs that the sketches allow, and verifies them: if none is refused, all
     allowed pairs are connected. Else two components that an allowed pair still parts are both touched by a
-    refused pair of the key, so the next round has these alone. Refused pairs are not taken again, and the
+    refused pair of the key that lies in two components, so the next round has these alone. Refused pairs are not taken again, and the
     rounds take more forests each."""
     if placed.isEmpty():
         return links
@@ -554,23 +554,28 @@ def _crowded_links(base: DataFrame, placed: DataFrame, links: DataFrame, words:
         if not failed.isEmpty():
             refused = failed if refused is None else refused.unionByName(failed)
             count *= 4
-            placed = _still_parted(members, _roots(links), failed)
+            placed, members = _still_parted(members, _roots(links), failed)
+        released(base.sparkSession)
         if failed.isEmpty() or placed.isEmpty():
             dropped(sketches)
             dropped(members)
             return links
 
 
-def _still_parted(members: DataFrame, roots: DataFrame, failed: DataFrame) -> DataFrame:
-    """(key, rid, comp) of the members whose key and component a refused pair touches, of keys with several."""
+def _still_parted(members: DataFrame, roots: DataFrame, failed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, rid, comp) of the members whose key and component a refused pair touches that has the key and lies in
+    two components, and these members (rid, keys) with such keys alone."""
     now = stored(members.join(roots, "rid", "left").select("rid", "keys", F.coalesce("root", "rid").alias("comp")), "near-placed")
-    touched = stored(now.join(_ends(failed).distinct(), "rid", "left_semi"), "near-touched")
+    ends = [now.select(F.col("rid").alias(x), F.col("keys").alias(f"k{x}"), F.col("comp").alias(f"c{x}")) for x in "uv"]
+    apart = failed.join(ends[0], "u").join(ends[1], "v").where("cu <> cv").select(
+        F.explode(F.array_intersect("ku", "kv")).alias("key"), F.array("cu", "cv").alias("comps"))
+    touched = apart.select("key", F.explode("comps").alias("comp")).distinct()
     own = now.join(touched.select("comp").distinct(), "comp", "left_semi").select("rid", "comp", F.explode("keys").alias("key"))
-    rows = stored(own.join(touched.select(F.explode("keys").alias("key")).distinct(), "key", "left_semi"), "near-open")
-    out = stored(_in_several(rows, 1), "near-crowded")
-    for done in (now, touched, rows):
+    out = stored(own.join(touched, ["key", "comp"], "left_semi").select("key", "rid", "comp"), "near-crowded")
+    left = stored(out.groupBy("rid").agg(F.collect_list("key").alias("keys")), "near-members")
+    for done in (now, members):
         dropped(done)
-    return out
+    return out, left
 
 
 def _late_links(base: DataFrame, single: DataFrame, tried: DataFrame, links: DataFrame, words: int, similarity: float,

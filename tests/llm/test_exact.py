@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from strataloom.llm import chunks, decontaminate, media, packing, repeats, sharding, simhash
-from strataloom.llm.common import Hidden
+from strataloom.llm.common import Hidden, components
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string"
@@ -345,6 +345,25 @@ def test_ids_of_a_column_are_the_tokenizers(monkeypatch):
         assert len(words) <= 50 and len(words.old) <= 50
 
 
+def test_only_keys_of_refused_pairs_stay_open(spark):
+    """A text's other keys, and components that no refused pair parts from another, were looked at again."""
+    members = spark.createDataFrame([(1, [7, 8]), (2, [7]), (3, [7, 8]), (4, [8]), (5, [7, 9]), (6, [9])], "rid long, keys array<long>")
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "rid long, root long")
+    failed = spark.createDataFrame([(1, 2), (2, 3), (5, 6)], "u long, v long")
+    placed, left = simhash._still_parted(members, roots, failed)
+    assert sorted(tuple(r) for r in placed.collect()) == [(7, 1, 1), (7, 2, 1), (7, 3, 3)]
+    assert sorted((r.rid, r["keys"]) for r in left.collect()) == [(1, [7]), (2, [7]), (3, [7])]
+
+
+def test_components_in_one_task_and_in_rounds(spark):
+    draw = random.Random(3)
+    edges = [(draw.randrange(900), draw.randrange(900)) for _ in range(500)] + [(2000 + k, 2001 + k) for k in range(300)] + [(5000, 5000)]
+    frame = spark.createDataFrame(edges, "u long, v long")
+    some, all_ = ({tuple(r) for r in components(frame, one_task=most).collect()} for most in (0, 1000))
+    assert some == all_ and {(2000 + k, 2000) for k in range(301)} <= all_ and 5000 not in dict(all_)
+    assert components(frame.where("u < 0")).collect() == []
+
+
 def test_packed_keys_of_several_components():
     draw = np.random.default_rng(6)
     common = draw.integers(0, 1 << 64, 300, np.uint64, endpoint=False)
