@@ -232,6 +232,8 @@ MAX_PAIRED = 8
 SKETCH_BITS, GLANCE_BITS = 4096, 1024
 #: Members of a crowded key that one task compares with as many others.
 BLOCK = 4096
+#: Spanning forests of a crowded key's allowed pairs that the first round verifies.
+FIRST_FORESTS = 4
 #: Keys that are packed at once (one text's keys more, at most), and shingles for each part they are dealt to.
 KEY_ROWS, PART_SHINGLES = 1 << 20, 1 << 20
 
@@ -532,7 +534,7 @@ def _crowded_links(base: DataFrame, placed: DataFrame, links: DataFrame, words:
         return links
     # One row for each text, with its keys, joins the components of every round.
     members = stored(placed.groupBy("rid").agg(F.collect_list("key").alias("keys")), "near-members")
-    sketches, refused, count = stored(_sketches(_texts_of(base, members), words), "near-sketches"), None, 1
+    sketches, refused, count = stored(_sketches(_texts_of(base, members), words), "near-sketches"), None, FIRST_FORESTS
     while True:
         known = sketches.withColumn("refused", F.lit(None).cast("array<long>")) if refused is None else sketches.join(
             refused.select(F.col("u").alias("rid"), "v").unionByName(refused.select(F.col("v").alias("rid"), F.col("u").alias("v")))
@@ -553,7 +555,7 @@ def _crowded_links(base: DataFrame, placed: DataFrame, links: DataFrame, words:
         dropped(pairs)
         if not failed.isEmpty():
             refused = failed if refused is None else refused.unionByName(failed)
-            count *= 4
+            count *= 8
             placed, members = _still_parted(members, _roots(links), failed)
         released(base.sparkSession)
         if failed.isEmpty() or placed.isEmpty():

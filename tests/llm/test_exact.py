@@ -13,7 +13,7 @@ import pytest
 import xxhash
 
 from strataloom.llm import chunks, decontaminate, media, packing, repeats, sharding, simhash
-from strataloom.llm.common import Hidden, components
+from strataloom.llm.common import FILE_BYTES, Hidden, components, stored
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SCHEMA = "doc_id long, text string"
@@ -355,6 +355,14 @@ def test_only_keys_of_refused_pairs_stay_open(spark):
     assert sorted((r.rid, r["keys"]) for r in left.collect()) == [(1, [7]), (2, [7]), (3, [7])]
 
 
+def test_small_tables_are_written_in_few_files(spark):
+    cores = spark.sparkContext.defaultParallelism
+    for rows in (500, FILE_BYTES // 2):  # of 8 bytes
+        out = stored(spark.range(0, rows, 1, 64), "few")
+        assert 0 < len(out.inputFiles()) <= cores + rows * 8 // FILE_BYTES
+        assert out.selectExpr("count(*)", "sum(id)").first() == (rows, rows * (rows - 1) // 2)
+
+
 def test_components_in_one_task_and_in_rounds(spark):
     draw = random.Random(3)
     edges = [(draw.randrange(900), draw.randrange(900)) for _ in range(500)] + [(2000 + k, 2001 + k) for k in range(300)] + [(5000, 5000)]
