@@ -54,6 +54,21 @@ def test_repeats(spark, variants):
     assert sorted(map(tuple, got.collect()), key=key) == removed_by_hand(docs, n)
 
 
+def test_repeats_sort_no_texts(spark):
+    """Joins hash their side of numbers; anchors, contexts and texts are not sorted, nor does the result change."""
+    docs, n, was = docs_of(5), 60, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        base = spark.createDataFrame([(k, t or "") for k, (_, t) in enumerate(docs)], "rid long, text string")
+        marks = repeats.repeat_spans(base, n, gram=24, max_variants=2)[1]
+        plan = marks._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+        got = repeats.removed_repeats(spark.createDataFrame(docs, SCHEMA), n, gram=24, max_variants=2).drop("kept_text")
+        assert sorted(map(tuple, got.collect()), key=key) == removed_by_hand(docs, n)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_strings_whose_only_partner_repeats_further(spark):
     """Two texts share a long stretch, a third shares one to thirty bytes less of it, many share the rest."""
     draw = random.Random(23)
