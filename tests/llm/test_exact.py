@@ -102,6 +102,22 @@ def test_short_texts_that_hold_a_gram_twice(spark):
         assert [r.n_removed for r in sorted(rows, key=lambda r: r.doc_id)] == want
 
 
+def test_passages_of_over_50_words_across_documents(spark):
+    """Whole from 400 bytes on, the contract's length; shorter ones, 51 words of five letters among them, need a lower `length`."""
+    draw = random.Random(29)
+    word = lambda k: "".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=k))
+    docs, sizes = [], [305, 399, 400, 401, 650]
+    for size in sizes:
+        passage = " ".join([word(5) for _ in range(51)] + [word(size - 306)] * (size > 305))
+        assert len(passage) == size and len(passage.split()) > 50
+        # Surroundings differ next to the passage, so that no more than it is shared.
+        docs += [f"{word(300)}{a}{passage}{b}{word(300)}" for a, b in ("pq", "rs")]
+    for length in (400, 300):
+        rows = repeats.removed_repeats(spark.createDataFrame(list(enumerate(docs)), SCHEMA), length).collect()
+        want = [n if n >= length else 0 for n in sizes for _ in range(2)]
+        assert [r.n_removed for r in sorted(rows, key=lambda r: r.doc_id)] == want
+
+
 def test_run_length_index():
     texts = [b"banana bandana", b"ananas", b"", b"banana"]
     index = repeats.RunLengthIndex(texts)
